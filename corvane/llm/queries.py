@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corvane.llm import packing, store, token_counts, token_files
+from corvane.llm import language, mixing, packing, quality, store, token_counts, token_files
 
 BYTE_BPE, WORD_BPE = ("byte_bpe_50k.json", "leading"), ("word_bpe_49k.json", "words")
 
@@ -21,6 +22,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of the sources takes of each document."""
+    taken = F.col("size") * F.array_size("places")
+    return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each line of each document."""
     return token_counts.counts(_documents(spark, sf_dir), *_tokenizer(BYTE_BPE))
@@ -31,6 +38,23 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), *_tokenizer(BYTE_BPE), end=0, capacity=2048)
 
 
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from three in four."""
+    docs = _documents(spark, sf_dir)
+    model = language.fit(docs.where(_remainder(4) != 2))
+    return language.predict(docs, model).withColumn("held_out", F.coalesce(_remainder(4) == 2, F.lit(False)))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures, posterior and verdict of each document."""
+    measured = store.keep(quality.measure(_documents(spark, sf_dir).select("doc_id", "text")).drop("text"), "quality")
+    return quality.judge(measured, quality.fit(measured)).select("doc_id", *quality.MEASURES, "base_failed", "kept", "posterior")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the token files, read back."""
     at = store.place(spark, "token-files")
@@ -39,7 +63,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op6_packing, op9_token_files)}
+    return {f.__name__: f for f in (op2_mixing, op4_token_counts, op6_packing, op7_language, op8_quality, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
