@@ -145,7 +145,7 @@ class Plan:
             return W.mix(np.uint64(self.seed) + (source.astype(np.uint64) << np.uint64(8)) + epoch.astype(np.uint64))
 
     def quotas(self) -> list[int]:
-        return (self.whole * self.blocks + self.cut + ((self.edge >= 0) | (self.more >= 0))).tolist()
+        return (self.whole * self.blocks + self.cut + ((self.edge >= 0) | (self.more >= 0).any(1))).tolist()
 
     def tree(self) -> Tree:
         quotas = self.quotas()
