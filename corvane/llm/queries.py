@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import language, mixing, packing, quality, store, token_counts, token_files
+from corvane.llm import language, media, mixing, packing, quality, store, token_counts, token_files
 
 BYTE_BPE, WORD_BPE = ("byte_bpe_50k.json", "leading"), ("word_bpe_49k.json", "words")
 
@@ -28,6 +28,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and features of each document's stored image, by its page."""
+    docs, at = _documents(spark, sf_dir), store.place(spark, "media")
+    media.save(docs, at)
+    found = media.resolve(media.sequences(media.illustrated(docs)), media.features(spark, at))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each line of each document."""
     return token_counts.counts(_documents(spark, sf_dir), *_tokenizer(BYTE_BPE))
@@ -63,7 +71,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op4_token_counts, op6_packing, op7_language, op8_quality, op9_token_files)}
+    return {f.__name__: f for f in (op2_mixing, op3_media, op4_token_counts, op6_packing, op7_language, op8_quality, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
