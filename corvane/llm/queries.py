@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import language, media, mixing, packing, quality, store, token_counts, token_files
+from corvane.llm import language, media, mixing, packing, quality, secrets, store, token_counts, token_files
 
 BYTE_BPE, WORD_BPE = ("byte_bpe_50k.json", "leading"), ("word_bpe_49k.json", "words")
 
@@ -70,8 +70,13 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(spark, at)
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate secrets of all documents and the forest's verdicts."""
+    return secrets.scan(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_media, op4_token_counts, op6_packing, op7_language, op8_quality, op9_token_files)}
+    return {f.__name__: f for f in (op2_mixing, op3_media, op4_token_counts, op6_packing, op7_language, op8_quality, op9_token_files, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
