@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import language, media, mixing, packing, quality, secrets, store, token_counts, token_files
+from corvane.llm import language, media, mixing, packing, quality, secrets, similar, store, token_counts, token_files
 
 BYTE_BPE, WORD_BPE = ("byte_bpe_50k.json", "leading"), ("word_bpe_49k.json", "words")
 
@@ -41,6 +41,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(_documents(spark, sf_dir), *_tokenizer(BYTE_BPE))
 
 
+def op5_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's class of equal shingle sets, its links and its group."""
+    return similar.join(_documents(spark, sf_dir)).drop("cid")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens."""
     return packing.pack(_documents(spark, sf_dir), *_tokenizer(BYTE_BPE), end=0, capacity=2048)
@@ -76,7 +81,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_media, op4_token_counts, op6_packing, op7_language, op8_quality, op9_token_files, op10_secrets)}
+    return {f.__name__: f for f in (op2_mixing, op3_media, op4_token_counts, op5_similar, op6_packing, op7_language, op8_quality, op9_token_files, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -30,12 +30,19 @@ def place(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/corvane/{name}-{uuid.uuid4().hex}"
 
 
-def keep(frame: DataFrame, name: str) -> DataFrame:
+def keep(frame: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Writes `frame` and reads it back: a cut in lineage that survives the loss
-    of executors."""
+    of executors.  `rows` bounds the rows of an Arrow batch while it is made, for
+    rows that may be large."""
     spark = frame.sparkSession
-    at = place(spark, name)
-    frame.write.option("compression", "zstd").parquet(at)
+    at, key = place(spark, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        if rows:
+            spark.conf.set(key, str(rows))
+        frame.write.option("compression", "zstd").parquet(at)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(frame.schema).parquet(at)
 
 
