@@ -55,3 +55,9 @@ def drop(spark: SparkSession, at: str) -> None:
     """Removes what `place` named."""
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_frame(frame: DataFrame) -> None:
+    """Removes the table behind what `keep` returned."""
+    for file in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
+        drop(frame.sparkSession, file)
