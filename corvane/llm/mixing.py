@@ -4,8 +4,8 @@ Sources get targets in words: they share all words by weight, no target above
 `most` times its source, the excess reshared.  A source whose target is e times
 its size is taken floor(e) times whole and once in part.
 
-Documents fall into blocks of a source by a hash of doc_id; a keyed permutation
-(a Feistel network, so no sort) orders each epoch's blocks, and the part is a
+Documents fall into blocks of a source by a hash of doc_id; an affine permutation
+drawn for each source and epoch orders the blocks without a sort, and the part is a
 prefix of that order: whole blocks, then of one block the documents with the
 least hash that fit and up to eight others that fill what is then missing.  The blocks
 taken of each source are its exact quota.  A binary tree over output shards
@@ -25,6 +25,7 @@ are ignored.
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -57,21 +58,13 @@ def targets(sizes: list[int], weights: list[float], total: float, most: float =
     return out
 
 
-def permute(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """A permutation of range(n) for each key, elementwise: a Feistel network on
-    the next even number of bits, walked until it falls below n."""
-    x, n, key = x.astype(np.uint64), n.astype(np.uint64), key.astype(np.uint64)
-    half = np.maximum(1, np.ceil(np.log2(np.maximum(n, 2).astype(float)) / 2)).astype(np.uint64)
-    mask = (np.uint64(1) << half) - np.uint64(1)
-    todo, out = np.arange(len(x)), x.copy()
-    while len(todo):
-        left, right = out[todo] >> half[todo], out[todo] & mask[todo]
-        for turn in range(4):
-            with np.errstate(over="ignore"):
-                left, right = right, left ^ (W.mix(right + key[todo] + np.uint64(turn * 0x9E3779B97F4A7C15 % (1 << 64))) & mask[todo])
-        out[todo] = (left << half[todo]) | right
-        todo = todo[out[todo] >= n[todo]]
-    return out.astype(np.int64)
+def step(n: int, seed: int, source: int, epoch: int) -> tuple[int, int]:
+    """a and b of the permutation block -> (a * block + b) mod n."""
+    rng = random.Random(f"{seed}/{source}/{epoch}")
+    a = rng.randrange(1, n + 1)
+    while math.gcd(a, n) != 1:
+        a = rng.randrange(1, n + 1)
+    return a % n, rng.randrange(n)
 
 
 class Tree:
@@ -140,9 +133,10 @@ class Plan:
         self.more, self.more_id = np.full((len(names), _MORE), -1, np.int64), np.full((len(names), _MORE), _NONE, np.int64)  # and others
         self.shard_blocks = shard_blocks
 
-    def key(self, source: np.ndarray, epoch: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return W.mix(np.uint64(self.seed) + (source.astype(np.uint64) << np.uint64(8)) + epoch.astype(np.uint64))
+    def steps(self, epoch) -> tuple[np.ndarray, np.ndarray]:
+        """The permutation of each source in its own epoch."""
+        found = [step(int(n), self.seed, k, int(e)) for k, (n, e) in enumerate(zip(self.blocks, np.broadcast_to(epoch, self.blocks.shape), strict=True))]
+        return np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int64)
 
     def quotas(self) -> list[int]:
         return (self.whole * self.blocks + self.cut + ((self.edge >= 0) | (self.more >= 0).any(1))).tolist()
@@ -171,36 +165,43 @@ def plan(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float =
     if not names or max(part) < 0.5:
         return made
     spark = rows.sparkSession
-    info = spark.createDataFrame([(k, n, float(part[k]), int(made.blocks[k])) for k, n in enumerate(names)], "k int, source string, part double, blocks long")
-    placed = rows.join(F.broadcast(info.where("part >= 0.5")), rows["source"].eqNullSafe(info["source"])).select("k", "part", F.pmod("spot", "blocks").alias("block"), "size", "spot", "doc_id")
-    sums = placed.groupBy("k", "block").agg(F.sum("size").alias("size"))
-    ordered = sums.mapInArrow(_orderer(made), "k int, place long, block long, size long")
-    ordered = store.keep(ordered.withColumn("chunk", F.expr(f"place div {_CHUNK}")), "mix-blocks")
+    a, b = made.steps(made.whole)
+    info = [(k, n, float(part[k]), int(made.blocks[k]), int(a[k]), int(b[k])) for k, n in enumerate(names) if part[k] >= 0.5]
+    info = spark.createDataFrame(info, "k int, source string, part double, blocks long, a long, b long")
+    # a row a source
+    placed = rows.join(F.broadcast(info), rows["source"].eqNullSafe(info["source"])).withColumn("place", F.pmod(F.col("a") * F.pmod("spot", "blocks") + F.col("b"), "blocks"))
+    placed = placed.select("k", "part", "place", F.expr(f"place div {_CHUNK}").alias("chunk"), "size", "spot", "doc_id")
+    ordered = store.keep(placed.groupBy("k", "part", "chunk", "place").agg(F.sum("size").alias("size")), "mix-blocks")
     # prefix sums in two steps: over chunks, then within the chunk where the target lies
+    reached = lambda upto: (upto - F.col("size") <= F.col("part")) & (upto > F.col("part"))
     over = Window.partitionBy("k").orderBy("chunk")
-    chunks = ordered.groupBy("k", "chunk").agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(over))
-    parts = spark.createDataFrame([(k, float(p)) for k, p in enumerate(part)], "k int, part double")
-    chunks = chunks.join(F.broadcast(parts), "k").where((F.col("upto") - F.col("n") <= F.col("part")) & (F.col("upto") > F.col("part")))
+    chunks = ordered.groupBy("k", "part", "chunk").agg(F.sum("size").alias("size")).withColumn("upto", F.sum("size").over(over)).where(reached(F.col("upto")))
     within = Window.partitionBy("k").orderBy("place")
-    blocks = ordered.join(F.broadcast(chunks.select("k", "chunk", "part", (F.col("upto") - F.col("n")).alias("base"))), ["k", "chunk"])
-    blocks = blocks.withColumn("upto", F.col("base") + F.sum("size").over(within)).where((F.col("upto") - F.col("size") <= F.col("part")) & (F.col("upto") > F.col("part")))
-    # the block in which the target lies, one a source, and its documents by hash
-    edge = blocks.select("k", "block", "place", (F.col("part") - F.col("upto") + F.col("size")).alias("need"))
-    near = placed.drop("part").join(F.broadcast(edge), ["k", "block"]).groupBy("k", "place", "need", "spot", "doc_id").agg(F.sum("size").alias("size"))
+    # a row a source on the small sides
+    blocks = ordered.join(F.broadcast(chunks.select("k", "chunk", (F.col("upto") - F.col("size")).alias("base"))), ["k", "chunk"])
+    blocks = blocks.withColumn("upto", F.col("base") + F.sum("size").over(within)).where(reached(F.col("upto")))
+    # the block in which the target lies, one a source
+    edge = {r[0]: (r[1], r[2]) for r in blocks.select("k", "place", (F.col("part") - F.col("upto") + F.col("size")).alias("need")).collect()}
+    if not edge:
+        return made
+    edges = spark.createDataFrame([(k, *v) for k, v in edge.items()], "k int, place long, need double")
+    near = placed.select("k", "place", "spot", "doc_id", "size").join(F.broadcast(edges), ["k", "place"]).groupBy("k", "place", "need", "spot", "doc_id").agg(F.sum("size").alias("size"))
     # a group is the documents of one block, repeated rows already added up
-    for k, at, spot, own, more, more_id in near.groupBy("k").applyInPandas(_edges, "k int, place long, spot long, id long, more array<long>, more_id array<long>").collect():
+    for k, at, spot, own, more, more_id in near.groupBy("k").applyInArrow(_edges, "k int, place long, spot long, id long, more array<long>, more_id array<long>").collect():
         made.cut[k] = at
         made.edge[k], made.edge_id[k] = spot, own
         made.more[k, : len(more)], made.more_id[k, : len(more)] = more, more_id
     return made
 
 
-def _edges(block):
+def _edges(block: pa.Table) -> pa.Table:
     """The last document by hash whose prefix fits, and up to _MORE others that
     fill what is then missing: the largest that fit, then the nearest."""
-    block = block.assign(id=block["doc_id"].fillna(_NONE).astype("int64")).sort_values(["spot", "id"])
-    size, need = block["size"].to_numpy(), float(block["need"].iloc[0])
-    spots, ids = block["spot"].to_numpy(), block["id"].to_numpy()
+    ids = np.asarray(block.column("doc_id").fill_null(_NONE).combine_chunks()).astype(np.int64)
+    spots, size = np.asarray(block.column("spot").combine_chunks()), np.asarray(block.column("size").combine_chunks())
+    order = np.lexsort((ids, spots))
+    ids, spots, size = ids[order], spots[order], size[order]
+    need = block.column("need")[0].as_py()
     n = int(np.searchsorted(np.cumsum(size), need, side="right"))
     gap, left, more = need - float(size[:n].sum()), list(range(n, len(size))), []
     while left and len(more) < _MORE:
@@ -211,20 +212,8 @@ def _edges(block):
         more.append(k)
         left.remove(k)
         gap -= float(size[k])
-    row = [block["k"].iloc[0], block["place"].iloc[0], spots[n - 1] if n else -1, ids[n - 1] if n else _NONE, [int(spots[k]) for k in more], [int(ids[k]) for k in more]]
-    return type(block)([row], columns=["k", "place", "spot", "id", "more", "more_id"])
-
-
-def _orderer(made: Plan):
-    schema = pa.schema([("k", pa.int32()), ("place", pa.int64()), ("block", pa.int64()), ("size", pa.int64())])
-
-    def run(batches):
-        for rows in batches:
-            k, block = np.asarray(rows.column("k")).astype(np.int64), np.asarray(rows.column("block"))
-            place = permute(block, made.blocks[k], made.key(k, made.whole[k]))
-            yield batch_of(schema, [rows.column("k"), place, rows.column("block"), rows.column("size")])
-
-    return run
+    row = [block.column("k")[0].as_py(), block.column("place")[0].as_py(), int(spots[n - 1]) if n else -1, int(ids[n - 1]) if n else _NONE, [int(spots[k]) for k in more], [int(ids[k]) for k in more]]
+    return pa.table([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], names=["k", "place", "spot", "id", "more", "more_id"])
 
 
 def draw(rows: DataFrame, made: Plan) -> DataFrame:
@@ -238,15 +227,15 @@ def draw(rows: DataFrame, made: Plan) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("k", pa.int32()), ("size", pa.int64()), ("source_size", pa.int64()), ("target", pa.float64()), ("places", pairs)])
 
     def run(batches):
-        tree = made.tree()
+        tree, turns = made.tree(), [made.steps(e) for e in range(int(made.whole.max(initial=0)) + 1)]
         for rows in batches:
             k, spot = np.asarray(rows.column("k")).astype(np.int64), np.asarray(rows.column("spot"))
             ids = np.asarray(rows.column("doc_id").fill_null(_NONE))
             block = spot % made.blocks[k]
             row, epoch, shard, rank = [], [], [], []
-            for e in range(int(made.whole.max(initial=0)) + 1):
+            for e, (a, b) in enumerate(turns):
                 at = np.flatnonzero(e <= made.whole[k])
-                place = permute(block[at], made.blocks[k[at]], made.key(k[at], np.full(len(at), e)))
+                place = (a[k[at]] * block[at] + b[k[at]]) % made.blocks[k[at]]
                 own, s, i = k[at], spot[at], ids[at]
                 last = (s < made.edge[own]) | ((s == made.edge[own]) & (i <= made.edge_id[own])) | ((s[:, None] == made.more[own]) & (i[:, None] == made.more_id[own])).any(1)
                 last &= place == made.cut[own]
