@@ -11,12 +11,12 @@ shares a sampled token stays together with at least the chance of a branching
 process that doesn't die out.  Nodes of one class end; nodes of at most `small`
 classes are leaves and are compared by brute force; larger ones split on, up to
 `depth`, where what is left is compared in blocks, every block with every other,
-so no bucket is capped.  The number of runs follows from the recall wanted at
-the threshold for a pair that needs the full depth; more similar pairs and
-shallower leaves have more.
+so no bucket is capped.  The number of runs follows from the recall wanted of a
+pair at the threshold that needs the full depth and whose signatures agree in
+2.5 standard deviations less than they should; other pairs have more.
 
 In a leaf, signatures name the pairs worth checking (a pair that is above the
-threshold is missed with the probability of 4.5 standard deviations), and the
+threshold is missed with the probability of 5 standard deviations), and the
 whole shingle sets of those classes are then compared exactly.  A pair that
 meets in several leaves counts in the least of its common leaves, which each
 side can tell from its own list of leaves; so links are counted without a row a
@@ -92,11 +92,16 @@ def class_ids(value: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(raw[8 * a : 8 * b], digest_size=8).digest(), "little", signed=True) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], np.int64)
 
 
+def _deviation(threshold: float) -> float:
+    return math.sqrt(threshold * (1 - threshold) / COORDINATES)
+
+
 def runs_needed(recall: float, threshold: float, depth: int) -> int:
     """Runs after which a pair at the threshold has met with this probability."""
     p, second = 1.0, 1 / threshold - 1
+    agree = threshold - 2.5 * _deviation(threshold)
     for _ in range(depth):
-        q = threshold * p
+        q = agree * p
         p = (1 - second) * q + second * (1 - (1 - q) ** 2)
     return math.ceil(math.log(1 - recall) / math.log(1 - p))
 
@@ -309,7 +314,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(wanted, "id").select("cid", "text").mapInArrow(run, "cid long, value binary").dropDuplicates(["cid"])
 
 
-def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, depth: int = 6, small: int = 64, block: int = 512) -> DataFrame:
+def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, depth: int = 4, small: int = 64, block: int = 512) -> DataFrame:
     """doc_id, class_id (least doc_id with the same set), n_copies of the class,
     n_links (other classes at the threshold or above), group_id (least class_id
     of the component that links make), and cid."""
@@ -329,7 +334,7 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, depth:
     rows = _blocks(found.join(store.keep(lists, "lists"), "cid"))
     parts = max(store.parts(docs.sparkSession), 1)
     key = ("path", "i", "j")
-    cut = threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
+    cut = threshold - 5 * _deviation(threshold)
     near = rows.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_near(cut), "path long, i long, j long, side boolean, cid long, all binary")
     near = store.keep(near, "near")
     wanted = near.select("cid").distinct().join(classes.select("cid", "id"), "cid")
