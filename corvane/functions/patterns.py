@@ -8,14 +8,107 @@ letters and \\s as ASCII.  `re2` makes it DuckDB's.
 
 from __future__ import annotations
 
+import functools
 import re
 
 #: white space as web scripts see it
 SPACE = r"\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 _EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+_BEGIN, _END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 
-def _spaces(pattern: str, edge: str) -> str:
+def _close(pattern: str, at: int) -> int:
+    """The end of the group that opens at `at`."""
+    depth, inside, k = 0, False, at
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\":
+            k += 1
+        elif inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+        else:
+            depth += (c == "(") - (c == ")")
+            if depth == 0:
+                return k
+        k += 1
+    return len(pattern)
+
+
+def _choices(body: str) -> list[str]:
+    """The alternatives of a group's body, inner groups left whole."""
+    out, start, k, inside = [], 0, 0, False
+    while k < len(body):
+        c = body[k]
+        if c == "\\":
+            k += 1
+        elif inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+        elif c == "(":
+            k = _close(body, k)
+        elif c == "|":
+            out.append(body[start:k])
+            start = k + 1
+        k += 1
+    return [*out, body[start:]]
+
+
+def _worded(pattern: str, first: bool) -> bool:
+    """Whether a pattern surely begins (ends) with a word character."""
+    if first:
+        if pattern.startswith("("):
+            end = _close(pattern, 0)
+            body = pattern[3:end] if pattern.startswith("(?:") else pattern[1:end]
+            return pattern[end + 1 : end + 2] not in ("?", "*", "{") and all(_worded(c, True) for c in _choices(body))
+        follow = pattern[1:2] if pattern[:1] != "\\" else pattern[2:3]
+        return (pattern[:1].isalnum() and pattern.isascii() or pattern.startswith("\\d")) and follow not in ("?", "*", "{")
+    if pattern.endswith(")") and not pattern.endswith("\\)"):
+        starts = [k for k in range(len(pattern)) if pattern[k] == "(" and (k == 0 or pattern[k - 1] != "\\") and _close(pattern, k) == len(pattern) - 1]
+        body = pattern[starts[0] :] if starts else ""
+        body = body[3:-1] if body.startswith("(?:") else body[1:-1]
+        return bool(body) and not body.startswith("?") and all(_worded(c, False) for c in _choices(body))
+    return pattern[-1:].isascii() and pattern[-1:].isalnum() and (pattern[-2:-1] != "\\" or pattern[-1:] == "d")
+
+
+def _edges(pattern: str) -> str:
+    """Word boundaries whose side is known as one look to that side, which is
+    much faster than the general form; group by group."""
+    out, k, inside = [], 0, False
+    while k < len(pattern):
+        two = pattern[k : k + 2]
+        if two[:1] == "\\":
+            if two == "\\b" and not inside:
+                begins = _worded(pattern[k + 2 :], True)
+                ends = _worded(_before(pattern[:k]), False)
+                out.append(_EDGE if begins == ends else _BEGIN if begins else _END)
+            else:
+                out.append(two)
+            k += 2
+            continue
+        inside = two[0] == "[" or (inside and two[0] != "]")
+        out.append(two[0])
+        k += 1
+    return "".join(out)
+
+
+def _before(text: str) -> str:
+    """What stands right before a place, in its own alternative."""
+    depth, k = 0, len(text) - 1
+    while k >= 0:
+        if k and text[k - 1] == "\\":
+            k -= 2
+            continue
+        depth += (text[k] == ")") - (text[k] == "(")
+        if depth < 0 or (depth == 0 and text[k] == "|"):
+            return text[k + 1 :]
+        k -= 1
+    return text
+
+
+def _spaces(pattern: str) -> str:
     out, inside, k = [], False, 0
     while k < len(pattern):
         two = pattern[k : k + 2]
@@ -23,8 +116,6 @@ def _spaces(pattern: str, edge: str) -> str:
             out.append(SPACE if inside else f"[{SPACE}]")
         elif two == r"\S":
             out.append(f"[^{SPACE}]")
-        elif two == r"\b" and not inside:
-            out.append(edge)
         elif two[:1] == "\\":
             out.append(two)
         else:
@@ -35,14 +126,15 @@ def _spaces(pattern: str, edge: str) -> str:
     return "".join(out)
 
 
+@functools.cache
 def java(pattern: str) -> str:
     """For Spark."""
-    return _spaces(pattern, _EDGE)
+    return _spaces(_edges(pattern))
 
 
 def re2(pattern: str) -> str:
     """For DuckDB."""
-    return _spaces(pattern, r"\b")
+    return _spaces(pattern)
 
 
 def literal(text: str) -> str:
@@ -106,7 +198,7 @@ PHONE = r"(?:\+?\d{1,3}[-.\s]?)?\(?\d{2,4}\)?[-.\s]?\d{3,4}[-.\s]?\d{3,4}"
 DATE_LIKE = r"^\d{4}[-/]\d{2}[-/]\d{2}$"
 ADDRESS_LIKE = r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"
 CJK = r"[\x{4e00}-\x{9fa5}\x{3040}-\x{30ff}\x{ac00}-\x{d7a3}]"
-NOISE = ((r'(?i)\{(?s:.)*?"variant_id"(?s:.)*?\}', ""), (r'(?i)\{(?s:.)*?"product_id"(?s:.)*?\}', ""), (r"data:image\/[a-zA-Z]+;base64,[a-zA-Z0-9+/=]+", ""), (r"\n{3,}", "\n\n"))
+NOISE = ((r'(?i)\{[\x{0}-\x{10ffff}]*?"variant_id"[\x{0}-\x{10ffff}]*?\}', ""), (r'(?i)\{[\x{0}-\x{10ffff}]*?"product_id"[\x{0}-\x{10ffff}]*?\}', ""), (r"data:image\/[a-zA-Z]+;base64,[a-zA-Z0-9+/=]+", ""), (r"\n{3,}", "\n\n"))
 
 PRICES = (
     r"(?i)(?:price|cost|msrp|pricing|rate|special price|now|was):\s*(?:(USD|EUR|GBP|INR|\$|₹|£|€)\s*)?([\d,]+(?:\.\d{1,2})?)",

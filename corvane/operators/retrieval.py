@@ -8,6 +8,8 @@ first, so that engines which add in another order agree.
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,20 @@ def ranked(rows: DataFrame, order: list[Column], limit: int, by: str = "query")
     return rows.withColumn("rank", place).where(F.col("rank") <= limit)
 
 
+def _keep(held: np.ndarray, score: np.ndarray, ids: np.ndarray, limit: int, least: float | None) -> np.ndarray:
+    """The best `limit` of (score, id) rows and new ones, the lower id on ties."""
+    fit = np.isfinite(score)
+    if least is not None:
+        fit &= score >= math.floor(least * 1e6 + 0.5)
+    if len(held) == limit:
+        fit &= score >= held[-1, 0]
+    at = np.flatnonzero(fit)
+    if len(at) > 4 * limit:
+        at = at[score[at] >= np.partition(score[at], len(at) - limit)[len(at) - limit]]
+    both = np.concatenate([held, np.stack([score[at].astype(np.int64), ids[at]], 1)])
+    return both[np.lexsort((both[:, 1], -both[:, 0]))[:limit]]
+
+
 def _best(queries: np.ndarray, names: np.ndarray, limit: int, least: float | None):
     """Scores a partition's points against a block of queries in matrix products
     and keeps `limit` a query."""
@@ -54,9 +70,7 @@ def _best(queries: np.ndarray, names: np.ndarray, limit: int, least: float | Non
                 cosine = (queries @ points.T) / (size[:, None] * own[None])
             score = np.floor(cosine * 1e6 + 0.5)
             for q in range(len(names)):
-                fit = np.isfinite(score[q]) & (True if least is None else score[q] >= math.floor(least * 1e6 + 0.5))
-                both = np.concatenate([held[q], np.stack([score[q][fit].astype(np.int64), ids[fit]], 1)])
-                held[q] = both[np.lexsort((both[:, 1], -both[:, 0]))[:limit]]
+                held[q] = _keep(held[q], score[q], ids, limit, least)
         many = np.array([len(h) for h in held])
         rows = np.concatenate(held) if len(held) else np.zeros((0, 2), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, many)), pa.array(rows[:, 1]), pa.array(rows[:, 0])], schema=schema)
@@ -106,25 +120,100 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9À-ɏ]+"), lambda w: w != "")
 
 
+_WORD = re.compile("[a-z0-9À-ɏ]+")
+
+
+def split_words(text: str | None) -> list[str]:
+    """What `tokens` gives, for Python code."""
+    return _WORD.findall((text or "").lower())
+
+
 def term_stats(docs: DataFrame) -> DataFrame:
     """term, df: in how many documents (id, text) a term is."""
     return docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
+def _stats(terms: dict[str, int]):
+    """A partition's documents, their length, and in how many a term is."""
+
+    def run(batches):
+        df, n, total = np.zeros(len(terms), np.int64), 0, 0
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                words = split_words(text)
+                n, total = n + 1, total + len(words)
+                for w in set(words):
+                    if w in terms:
+                        df[terms[w]] += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1, -2], pa.int32()), pa.array([*df[at].tolist(), n, total], pa.int64())], names=["term", "n"])
+
+    return run
+
+
+def _scored(terms: dict[str, int], wanted: np.ndarray, idf: np.ndarray, mean: float, names: np.ndarray, limit: int):
+    """Scores a partition's documents against a block of queries: the weights of
+    the documents' terms times the queries' terms, and the best of each."""
+    schema = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
+
+    def run(batches):
+        held = [np.zeros((0, 2), np.int64) for _ in names]
+        for b in batches:
+            texts, ids = b.column("text").to_pylist(), np.asarray(b.column("id"))
+            for low in range(0, len(texts), 512):
+                part = texts[low : low + 512]
+                weight = np.zeros((len(part), len(terms)))
+                for k, text in enumerate(part):
+                    words = split_words(text)
+                    found = [(terms[w], c) for w, c in Counter(words).items() if w in terms]
+                    if found:
+                        at, tf = np.array(found, np.int64).T
+                        weight[k, at] = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean))
+                score = np.floor(wanted @ weight.T * 1e6 + 0.5)
+                score[wanted @ (weight > 0).T.astype(float) == 0] = np.nan
+                for q in range(len(names)):
+                    held[q] = _keep(held[q], score[q], ids[low : low + 512], limit, None)
+        many = np.array([len(h) for h in held])
+        rows = np.concatenate(held) if len(held) else np.zeros((0, 2), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, many)), pa.array(rows[:, 1]), pa.array(rows[:, 0])], schema=schema)
+
+    return run
+
+
 def bm25(queries: DataFrame, docs: DataFrame, limit: int = TOP) -> DataFrame:
     """query, id, score (millionths), rank of the best documents (id, text) for
-    each query (query, text).  Only the queries' terms are counted."""
-    terms = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    words = docs.select("id", tokens(F.col("text")).alias("words")).withColumn("length", F.size("words"))
-    n, mean = words.agg(F.count("*"), F.avg("length")).head()
-    held = words.select("id", "length", F.explode("words").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    counts = held.groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(mean or 1))))
-    scored = counts.join(df, "term").select("term", "id", weight.alias("weight")).join(terms, "term")
-    scored = scored.groupBy("query", "id").agg(micro(F.sum("weight")).alias("score"))
-    return ranked(scored, [F.desc("score"), F.col("id")], limit)
+    each query (query, text) that share a term with it.
+
+    Documents are read twice, for the queries' terms' frequencies and to score
+    them, and never shuffled: a task sends on counts of the terms, then `limit`
+    rows a query.  Queries go in blocks, so what a task holds is bounded."""
+    parts = max(1, -(-queries.count() // QUERY_BLOCK))
+    found = None
+    for k in range(parts):
+        block = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == k)
+        asked = [(r[0], sorted(set(split_words(r[1])))) for r in block.select("query", "text").collect()]
+        terms = {w: i for i, w in enumerate(sorted({w for _, words in asked for w in words}))}
+        if not terms:
+            continue
+        df = np.zeros(len(terms))
+        n = total = 0
+        for term, count in docs.select("text").mapInArrow(_stats(terms), "term int, n long").groupBy("term").agg(F.sum("n")).collect():
+            if term >= 0:
+                df[term] = count
+            elif term == -1:
+                n = count
+            else:
+                total = count
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        wanted = np.zeros((len(asked), len(terms)))
+        for q, (_, words) in enumerate(asked):
+            wanted[q, [terms[w] for w in words]] = 1
+        names = np.array([q for q, _ in asked], np.int64)
+        part = docs.select("id", "text").mapInArrow(_scored(terms, wanted, idf, total / n if total else 1.0, names, limit), "query long, id long, score long")
+        found = part if found is None else found.union(part)
+    if found is None:
+        return queries.sparkSession.createDataFrame([], "query long, id long, score long, rank int")
+    return ranked(found, [F.desc("score"), F.col("id")], limit)
 
 
 def fuse(one: DataFrame, two: DataFrame) -> DataFrame:

@@ -176,8 +176,7 @@ _reply = case([
 ], "'Hi! I''m the AI assistant for Acme. How can I help you today?'")
 
 # --- retrieval ---
-N_QUERIES = 20
-_VEC = f"(SELECT vec_id AS query, embedding AS v FROM embeddings WHERE vec_id < {N_QUERIES})"
+_VEC = "(SELECT vec_id // 50 AS query, embedding AS v FROM embeddings WHERE vec_id % 50 = 0)"
 
 
 def _dense(where: str = "true", least: str | None = "50000", limit: int = 30) -> str:
@@ -188,7 +187,7 @@ FROM {_VEC} q, embeddings e WHERE {where}) WHERE true{keep}) WHERE rank <= {limi
 
 _TOKENS = "list_filter(string_split_regex(lower(text), '[^a-z0-9À-ɏ]+'), lambda w: w <> '')"
 BM25 = f"""(WITH d AS (SELECT doc_id AS id, {_TOKENS} AS words FROM documents), n AS (SELECT count(*) AS n, avg(len(words)) AS mean FROM d), c AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(words) AS len, unnest(words) AS term FROM d) GROUP BY ALL),
-f AS (SELECT term, count(*) AS df FROM c GROUP BY term), q AS (SELECT item_id AS query, unnest(list_distinct({_TOKENS})) AS term FROM benchmark WHERE item_id < {N_QUERIES}),
+f AS (SELECT term, count(*) AS df FROM c GROUP BY term), q AS (SELECT item_id AS query, unnest(list_distinct({_TOKENS})) AS term FROM benchmark),
 s AS (SELECT query, id, CAST(floor(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean))) * 1e6 + 0.5) AS BIGINT) AS score FROM c JOIN f USING (term) JOIN q USING (term), n GROUP BY query, id)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 30)"""
 FUSED = f"""(SELECT query, id, coalesce(d.rank, 999) AS dense_rank, coalesce(s.rank, 999) AS sparse_rank, coalesce(1.0::DOUBLE / (60 + d.rank), 0) + coalesce(1.0::DOUBLE / (60 + s.rank), 0) AS raw FROM {_dense()} d FULL OUTER JOIN {BM25} s USING (query, id))"""
@@ -288,7 +287,7 @@ def oracle_sql() -> dict[str, str]:
     out["search"] = f"""WITH near AS (SELECT f.query, f.id, f.rank, d.source, d.text, row_number() OVER (PARTITION BY f.query, d.source ORDER BY f.rank, f.id) AS own FROM {RRF} f JOIN documents d ON d.doc_id = f.id), pool AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank, id) AS r FROM near WHERE own <= 2)
 SELECT query, CAST(r AS INTEGER) AS rank, id, source AS url, CAST(floor(greatest(0.85::DOUBLE - (r - 1) * 0.02::DOUBLE, 0.70::DOUBLE) * 1e4 + 0.5) AS BIGINT) AS score, substr(text, 1, 80) AS excerpt FROM pool WHERE r <= 5"""
     out["sitemap_locs"] = "SELECT * FROM (VALUES ('https://e.com/a', 1), ('https://www.e.com/d', 1), ('https://e.com/z', 2)) AS v(url, depth)"
-    golden = f"(SELECT item_id AS query, text, item_id IN (SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(lower(d.text), lower(b.text)))) AS should_abstain FROM benchmark WHERE item_id < {N_QUERIES})"
+    golden = f"(SELECT item_id AS query, text, item_id IN (SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(lower(d.text), lower(b.text)))) AS should_abstain FROM benchmark)"
     hits = f"(SELECT query, min(s.rank) AS rank FROM {BM25} s JOIN documents d ON d.doc_id = s.id JOIN {golden} g USING (query) WHERE contains(lower(d.text), lower(g.text)) GROUP BY query)"
     share = lambda x, n: f"CASE WHEN {n} > 0 THEN CAST(floor(coalesce({x}, 0) / {n} * 1e6 + 0.5) AS BIGINT) END"
     inside, outside = "sum(CAST(NOT should_abstain AS INT))", "sum(CAST(should_abstain AS INT))"

@@ -14,10 +14,12 @@ from corvane.operators import accounts, chat, html, normalize, retrieval, struct
 from corvane.operators.gate import skip_reason
 from corvane.plans import fixtures as D
 from corvane.sources import pages as S
+from corvane.sources.spread import spread
 from corvane.streaming import usage as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
-N_QUERIES, LEAST_BM25 = 20, 40_000_000
+#: searches take every row whose id is divisible by this as a query
+EVERY, LEAST_BM25 = 50, 40_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +36,7 @@ def cents(x: Column) -> Column:
 
 def _with(spark, sf_dir, name: str, mark: str, key: str, columns: dict[str, str], fixture: tuple) -> DataFrame:
     """A table and a fixture under one kind of id."""
-    own = table(spark, sf_dir, name).select(F.concat(F.lit(mark), F.col(key).cast("string")).alias("id"), *(F.col(c).alias(n) for n, c in columns.items()))
+    own = spread(table(spark, sf_dir, name)).select(F.concat(F.lit(mark), F.col(key).cast("string")).alias("id"), *(F.col(c).alias(n) for n, c in columns.items()))
     return own.union(D.frame(spark, fixture))
 
 
@@ -57,7 +59,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.scan(spark, f"{sf_dir}/pages.parquet", "url", "html").union(D.frame(spark, D.PAGES))
+    return spread(S.scan(spark, f"{sf_dir}/pages.parquet", "url", "html")).union(D.frame(spark, D.PAGES))
 
 
 def _each(source, columns: Callable[[], dict[str, Column]]) -> Query:
@@ -85,7 +87,7 @@ def is_html(spark, sf_dir):
 
 
 def page_title(spark, sf_dir):
-    rows = html.with_tree(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    rows = html.with_tree(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
     return rows.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.col("tree.title").alias("title"))
 
 
@@ -205,7 +207,7 @@ def lang_detect(spark, sf_dir):
 
 def _vectors(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return e.where(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    return e.where(F.col("vec_id") % EVERY == 0).select(F.expr(f"vec_id div {EVERY}").alias("query"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
 
 def knn_dense(spark, sf_dir):
@@ -230,11 +232,11 @@ def knn_product(spark, sf_dir):
 
 
 def _documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def _benchmark(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").where(F.col("item_id") < N_QUERIES).select(F.col("item_id").alias("query"), "text")
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
 
 
 def bm25_stats(spark, sf_dir):
@@ -305,15 +307,22 @@ def eval_recall(spark, sf_dir):
 
 
 def _containment(questions: DataFrame, docs: DataFrame) -> DataFrame:
-    """Questions whose text is in some document: candidates have all the
-    question's terms, then the text decides."""
-    terms = questions.select("query", F.array_distinct(retrieval.tokens(F.col("text"))).alias("all"))
-    each = terms.select("query", F.size("all").alias("n"), F.explode("all").alias("term"))
-    words = docs.select("id", F.explode(F.array_distinct(retrieval.tokens(F.col("text")))).alias("term")).join(each.select("term").distinct(), "term", "left_semi")
-    # the first and last term of a passage may be cut in the document
-    pairs = words.join(each, "term").groupBy("query", "id", "n").agg(F.count("*").alias("has")).where("has >= n - 2").select("query", "id")
-    pairs = pairs.join(questions.select("query", F.lower("text").alias("q")), "query").join(docs.select("id", F.lower("text").alias("t")), "id")
-    return pairs.where(F.contains("t", "q")).select("query").distinct()
+    """Questions whose text is in some document.  Each question is looked for
+    where its rarest whole term is (its first and last may be cut in a document),
+    and the text decides; one without such a term is looked for everywhere."""
+    words = retrieval.tokens(F.col("text"))
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    each = questions.select("query", F.explode_outer(F.array_distinct(inner)).alias("term"))
+    held = docs.select("id", F.explode(F.array_distinct(words)).alias("term")).join(each.select("term").distinct(), "term", "left_semi")
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    rarest = each.join(df, "term", "left").groupBy("query").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    places = rarest.join(held, "term").select("query", "id")
+    short = questions.join(rarest.where("term is null"), "query").select("query", F.lower("text").alias("q"))
+    pairs = places.join(questions.select("query", F.lower("text").alias("q")), "query").join(docs.select("id", F.lower("text").alias("t")), "id")
+    found = pairs.where(F.contains("t", "q")).select("query")
+    if not short.isEmpty():
+        found = found.union(docs.select(F.lower("text").alias("t")).join(short, F.contains("t", "q")).select("query"))
+    return found.distinct()
 
 
 def search(spark, sf_dir):
@@ -322,7 +331,7 @@ def search(spark, sf_dir):
     fused = rrf_fuse(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("url"), "text")
     # texts are joined to what was selected only
-    near = fused.where(F.col("rank") <= 60).join(docs.select("id", "url"), "id").withColumn("parent_id", F.lit(None).cast("string"))
+    near = fused.join(docs.select("id", "url"), "id").withColumn("parent_id", F.lit(None).cast("string"))
     pool = retrieval.diverse(near).withColumn("score", retrieval.ladder(F.col("rank"), 0.70))
     return retrieval.select(pool).join(docs.select("id", "text"), "id").select("query", "rank", "id", "url", retrieval.four(F.col("score")).alias("score"), F.substring("text", 1, 80).alias("excerpt"))
 

@@ -263,7 +263,7 @@ def test_upserts_survive_a_batch_run_twice(spark, tmp_path):
 def test_flagship(spark):
     import __spark_entry__ as entry
 
-    assert entry.entry(spark).count() == 100
+    assert entry.entry(spark).count() == 200
 
 
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):
