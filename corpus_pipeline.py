@@ -38,11 +38,12 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes documents by the mix: none, once, or up to three times, each time a
     row."""
-    placed = mixing.mix(docs).where(F.array_size("places") > 0).select(F.col("doc_id").alias("_id"), F.array_size("places").alias("_times"))
+    key, times, turn = (store.fresh(docs, f"corvane_{c}") for c in ("id", "times", "turn"))
+    placed = mixing.mix(docs).where(F.array_size("places") > 0).select(F.col("doc_id").alias(key), F.array_size("places").alias(times))
     # repeated rows are placed alike, so one plan row an id serves them all
-    plan = store.keep(placed.groupBy("_id").agg(F.max("_times").alias("_times")), "mix-plan")
-    taken = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return taken.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    plan = store.keep(placed.groupBy(key).agg(F.max(times).alias(times)), "mix-plan")
+    taken = docs.join(store.small(plan, similar.FEW), F.col("doc_id").eqNullSafe(F.col(key)))
+    return taken.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ columns as they are.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import random
 import re
@@ -50,16 +51,17 @@ _NAMES = [r[0] for r in PATTERNS]
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """Start, end and pattern of each candidate, disjoint and in order."""
-    found: list[tuple[int, int, str]] = []
+    found: list[tuple[int, int, str]] = []  # in order, so a clash is beside its place
     for name, must, rule in _RULES:
         if must is None and name == "assigned" and not _ASSIGN.search(text):
             continue
         if must is None or must in text:
             for m in rule.finditer(text):
                 a, b = m.span("v")
-                if not any(a < y and x < b for x, y, _ in found):
-                    found.append((a, b, name))
-    return sorted(found)
+                k = bisect.bisect_left(found, (a, b))
+                if (k == 0 or found[k - 1][1] <= a) and (k == len(found) or b <= found[k][0]):
+                    found.insert(k, (a, b, name))
+    return found
 
 
 def describe(value: str, before: str, after: str, path: str, kind: str) -> list[float]:

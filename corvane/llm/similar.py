@@ -43,6 +43,8 @@ from corvane.llm import words as W
 from corvane.llm.encode import batch_of
 
 WIDTH, COORDINATES = 5, 128
+#: rows of two numbers that are broadcast at most, about 16 MB
+FEW = 500_000
 _NONE = -(1 << 63)
 _rng = np.random.default_rng(20)
 _A = _rng.integers(0, 1 << 32, COORDINATES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -215,20 +217,31 @@ def _column(table: pa.Table, name: str) -> pa.Array:
     return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
 
 
+def _products(row: np.ndarray, which: np.ndarray, rows: int) -> np.ndarray:
+    """How many of `which` each two rows have in common."""
+    order = np.argsort(which, kind="stable")
+    row, which = row[order], which[order]
+    shared = np.zeros((rows, rows), np.float32)
+    wide = max(1, 16_000_000 // rows)
+    for low in range(0, int(which[-1]) + 1 if len(which) else 0, wide):
+        x, y = np.searchsorted(which, [low, low + wide])
+        part = np.zeros((rows, min(wide, int(which[-1]) + 1 - low)), np.float32)
+        part[row[x:y], which[x:y] - low] = 1
+        shared += part @ part.T
+    return shared
+
+
 def _own_pairs(table: pa.Table, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which of the pairs (a, b) count here: those of whose common leaves this
     is the least; in a pair of two blocks, those across them."""
-    lists = [np.frombuffer(x, np.int64) for x in _column(table, "all").to_pylist()]
-    width = max(map(len, lists))
-    padded = np.stack([np.pad(x, (0, width - len(x)), constant_values=np.iinfo(np.int64).max) for x in lists])
     path, side = _column(table, "path")[0].as_py(), np.asarray(_column(table, "side"))
     across = _column(table, "i")[0].as_py() != _column(table, "j")[0].as_py()
-    good = np.zeros(len(a), bool)
-    step = max(1, 4_000_000 // (width * width))
-    for k in range(0, len(a), step):
-        x, y = padded[a[k : k + step]], padded[b[k : k + step]]
-        common = (x[:, :, None] == y[:, None, :]).any(2)
-        good[k : k + step] = np.where(common, x, np.iinfo(np.int64).max).min(1) == path
+    lists = [x[x < path] for x in (np.frombuffer(x, np.int64) for x in _column(table, "all").to_pylist())]
+    _, which, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    row, often = np.repeat(np.arange(len(lists)), list(map(len, lists))), times > 1
+    place = np.cumsum(often) - 1
+    row, which = row[often[which]], place[which[often[which]]]
+    good = _products(row, which, len(lists))[a, b] == 0
     return good & (side[a] != side[b]) if across else good
 
 
@@ -264,16 +277,7 @@ def _compare(threshold: float):
             n = np.array(list(map(len, sets)))
             m = len(n)
             _, which = np.unique(np.concatenate(sets), return_inverse=True)
-            row = np.repeat(np.arange(m), n)
-            order = np.argsort(which, kind="stable")
-            which, row = which[order], row[order]
-            shared = np.zeros((m, m), np.float32)
-            wide = max(1, 16_000_000 // m)
-            for low in range(0, int(which[-1]) + 1, wide):
-                x, y = np.searchsorted(which, [low, low + wide])
-                part = np.zeros((m, min(wide, int(which[-1]) + 1 - low)), np.float32)
-                part[row[x:y], which[x:y] - low] = 1
-                shared += part @ part.T
+            shared = _products(np.repeat(np.arange(m), n), which, m)
             a, b = np.nonzero(np.triu(shared >= threshold * (n[:, None] + n[None] - shared) - 1e-3, 1))
             # decided in whole numbers
             inter = np.rint(shared[a, b]).astype(np.int64)
@@ -337,8 +341,8 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, depth:
     cut = threshold - 5 * _deviation(threshold)
     near = rows.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_near(cut), "path long, i long, j long, side boolean, cid long, all binary")
     near = store.keep(near, "near")
-    wanted = near.select("cid").distinct().join(classes.select("cid", "id"), "cid")
-    sets = store.keep(_sets(docs, wanted), "sets", rows=1_000)
+    wanted = store.keep(near.select("cid").distinct().join(classes.select("cid", "id"), "cid"), "wanted")
+    sets = store.keep(_sets(docs, store.small(wanted, FEW)), "sets", rows=1_000)
     checked = near.join(sets, "cid").repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_compare(threshold), "cid long, links long, label long")
     checked = store.keep(checked, "checked", rows=1_000)
     roots = graph.components(checked.select(F.col("cid").alias("a"), F.col("label").alias("b")))
@@ -354,22 +358,29 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, depth:
 
 
 def firsts(docs: DataFrame, **how) -> DataFrame:
-    """`docs` with one document of each group, the one with the least doc_id."""
-    found = join(docs, **how)
-    keep = store.keep(found.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.coalesce("doc_id", F.lit(_NONE)).alias("_id"), F.col("cid").alias("_cid")).distinct(), "firsts")
-    rows = with_class(docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE))))
+    """`docs` with one document of each group, the one with the least doc_id.
+
+    Where doc_id is a key, which one sum over the ids tells, what goes is found
+    by its id, and texts aren't shuffled while few go; else by id and class."""
+    found = store.keep(join(docs, **how).select(F.coalesce("doc_id", F.lit(_NONE)).alias("id"), F.coalesce("group_id", F.lit(_NONE)).alias("group"), "cid"), "groups")
+    key, cls = store.fresh(docs, "corvane_id"), store.fresh(docs, "corvane_class")
+    rows = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)))
+    if found.groupBy("id").count().where("count > 1").isEmpty():
+        gone = store.small(store.keep(found.where("id <> group").select(F.col("id").alias(key)), "gone"), FEW)
+        return rows.join(gone, key, "left_anti").select(*docs.columns)
+    kept = store.keep(found.where("id = group").select(F.col("id").alias(key), F.col("cid").alias(cls)).distinct(), "firsts")
     # repeated rows of a kept document: the join's partitioning serves
-    return rows.join(keep, ["_id", "_cid"]).dropDuplicates(["_id", "_cid"]).select(*docs.columns)
+    return with_class(rows, cls).join(kept, [key, cls]).dropDuplicates([key, cls]).select(*docs.columns)
 
 
-def with_class(docs: DataFrame) -> DataFrame:
-    """`docs` with the class of each row as _cid."""
+def with_class(docs: DataFrame, name: str) -> DataFrame:
+    """`docs` with the class of each row as a column `name`."""
     names = docs.columns
 
     def run(batches):
         for batch in batches:
             for rows in W.slices(batch):
                 cid = class_ids(*shingles(*W.flat(rows.column("text"))))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cid, pa.int64())], names=[*names, "_cid"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cid, pa.int64())], names=[*names, name])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(0).cast("long").alias("_cid")).schema)
+    return docs.mapInArrow(run, docs.select("*", F.lit(0).cast("long").alias(name)).schema)

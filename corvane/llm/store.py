@@ -46,6 +46,22 @@ def keep(frame: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(at)
 
 
+def small(frame: DataFrame, rows: int) -> DataFrame:
+    """`frame`, to be broadcast if it has at most `rows` rows.  It must lie in a
+    table, as it is counted; beyond that Spark shuffles both sides."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(frame) if frame.count() <= rows else frame
+
+
+def fresh(frame: DataFrame, name: str) -> str:
+    """`name`, with underscores until no column of `frame` has it."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def parts(spark: SparkSession) -> int:
     """The number of partitions that the session wants of a shuffle."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -34,11 +34,15 @@ def ranged(docs: DataFrame, parts: int, key: str = "doc_id") -> DataFrame:
     that Spark estimates on the key column alone."""
     if parts < 2:
         return docs.withColumn("part", F.lit(0))
+    from pyspark.ml.feature import Bucketizer
+
     found = docs.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], 10_000)).head()[0] or [0]
-    # a literal array of fewer than `parts` numbers; the number of cuts below the key
-    bounds = F.array(*[F.lit(int(c)) for c in sorted(set(found))])
-    spot = F.array_size(F.filter(bounds, lambda b: b < F.col(key)))
-    return docs.withColumn("part", F.coalesce(spot, F.lit(0)).cast("int"))
+    cuts = [float("-inf"), *sorted({float(c) for c in found}), float("inf")]
+    # by binary search on doubles: conversion keeps the order, so equal doubles share a range
+    at, out = store.fresh(docs, "corvane_key"), store.fresh(docs, "corvane_part")
+    rows = docs.withColumn(at, F.coalesce(F.col(key).cast("double"), F.lit(float("-inf"))))
+    rows = Bucketizer(splits=cuts, inputCol=at, outputCol=out).transform(rows)
+    return rows.withColumn("part", F.col(out).cast("int")).drop(at, out)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, pieces: str, end: int, files: int | None = None, encoding: str = "dictionary", group_bytes: int = 32 << 20, page_rows: int = 2_000) -> None:

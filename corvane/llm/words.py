@@ -22,7 +22,7 @@ with np.errstate(over="ignore"):
     _POWER = np.cumprod(np.full(_LONG, 0x9E3779B97F4A7C15, np.uint64))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20):
     """Cuts a batch into runs of rows with about `limit` bytes of `column`."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
     total = np.cumsum(lengths)
