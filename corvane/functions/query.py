@@ -229,3 +229,36 @@ def greeting_reply(message: Column, has_history: Column, business: Column, welco
         .when(has_history, F.concat(F.lit("Let me know if there's anything else I can help you find regarding "), name("our products"), F.lit("!")))
         .otherwise(F.coalesce(F.nullif(welcome, F.lit("")), F.concat(F.lit("Hi! I'm the AI assistant for "), name("this website"), F.lit(". How can I help you today?"))))
     )
+
+
+#: fixed values: the paths that a log takes; a gratitude turn isn't among them
+LOGGED = ("semantic", "structured", "clarify", "greeting", "abstained", "none")
+
+
+def route(label: Column, guarded: Column, abstained: Column | None = None) -> Column:
+    """The path that a message takes.  Thanks and greetings come before the
+    guardrail, which comes before everything else."""
+    path = F.when(label == "gratitude", "gratitude").when(label == "greeting", "greeting").when(guarded, "none").when(label == "vague", "clarify")
+    if abstained is not None:
+        path = path.when(abstained, "abstained")
+    return path.when(label == "product", "structured").otherwise("semantic")
+
+
+def is_logged(path: Column) -> Column:
+    return path.isin(*LOGGED)
+
+
+def fixed_reply(message: Column, path: Column, has_history: Column, business: Column, welcome: Column) -> Column:
+    """The reply of the paths that need no search and no model, else null."""
+    name = lambda other: F.coalesce(F.nullif(business, F.lit("")), F.lit(other))
+    return (
+        F.when(path == "gratitude", F.concat(F.lit("Glad I could help! Let me know if there's anything else I can help you with regarding "), name("our products"), F.lit(".")))
+        .when(path == "greeting", greeting_reply(message, has_history, business, welcome))
+        .when(path == "none", F.concat(F.lit("I'm here to help with questions about "), name("this website"), F.lit(". How can I assist you today?")))
+    )
+
+
+def payload_filter(most: Column, stock_only: Column, price: Column, in_stock: Column) -> Column:
+    """Whether a point passes a query's constraints: only the upper price bound
+    and stock filter; a point without a price fails a bound."""
+    return F.coalesce(most.isNull() | (price <= most), F.lit(False)) & F.coalesce(~stock_only | in_stock, F.lit(False))

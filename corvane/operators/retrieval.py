@@ -262,6 +262,22 @@ def calibrated(provider: str, score: Column, logits: bool = True) -> Column:
     return score
 
 
+def chain(fused: Column, *scores: Column) -> Column:
+    """The first provider's score there is, in order, else the fused one, which
+    is always below the gate."""
+    return F.coalesce(*scores, fused)
+
+
+def scored_text(contextual: Column, text: Column) -> Column:
+    """What a scorer reads of a candidate."""
+    return F.coalesce(F.nullif(contextual, F.lit("")), F.nullif(text, F.lit("")), F.lit(""))
+
+
+def scored_query(query: Column) -> Column:
+    """A query without the hypothetical document behind its first blank line."""
+    return F.trim(F.split(query, "\n\n")[0])
+
+
 def ladder(rank: Column, floor: float) -> Column:
     """Scores that fall with the rank, for want of a model."""
     return F.greatest(0.85 - (rank - 1) * 0.02, F.lit(floor))

@@ -186,6 +186,12 @@ def resolve_followup(spark, sf_dir):
     return rows.union(own.select("id", "r.text", "r.was_resolved"))
 
 
+def chat_route(spark, sf_dir):
+    """The path of each message, whether it is logged, and its fixed reply."""
+    rows = labelled(spark, sf_dir).withColumn("rag_path", Q.route(F.col("intent"), Q.guardrail(F.col("text"))))
+    return rows.select("id", "intent", "rag_path", Q.is_logged(F.col("rag_path")).alias("logged"), Q.fixed_reply(F.col("text"), F.col("rag_path"), F.col("has_history"), F.lit("Acme"), F.lit("")).alias("reply"))
+
+
 def prompt_build(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").where("role = 'system'").select("conv_id", "turn", "text")
     return rows.select("conv_id", "turn", chat.system_prompt(F.col("text"), F.lit("customer_support"), F.lit("Acme"), F.lit("Sells things."), F.lit("https://acme.example"), F.lit("")).alias("prompt"))
@@ -411,7 +417,7 @@ def queries() -> dict[str, Query]:
         "greeting_reply": _each(messages, lambda: dict(reply=Q.greeting_reply(said(), F.col("has_history"), F.lit("Acme"), F.lit("")))),
     }
     for f in (
-        crawl_queue, quality_gate, is_html, page_title, html_headings, html_markdown, html_tables, page_links, jsonld_lines, ingest_status, business_name, sitemap_locs, md_headings, doc_blocks, chunk_parent, chunk_child, context_header, chunk_uuid, chunk_points, resolve_followup,
+        crawl_queue, quality_gate, is_html, page_title, html_headings, html_markdown, html_tables, page_links, jsonld_lines, ingest_status, business_name, sitemap_locs, md_headings, doc_blocks, chunk_parent, chunk_child, context_header, chunk_uuid, chunk_points, resolve_followup, chat_route,
         prompt_build, history_window, lang_detect, knn_dense, filter_payload, dense_fallback, knn_product, bm25_stats, bm25_topk, rrf_fuse, compare_interleave, diversity_cap, calibrate_scores, rerank_none, rerank_select, abstention, parent_resolve, context_text, eval_recall, search,
         usage_tokens, usage_cost, usage_totals, feedback_latest, upsert_points, stream_usage, scan_pages,
     ):

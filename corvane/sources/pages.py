@@ -66,6 +66,33 @@ def write_points(points: DataFrame, path: str) -> None:
     points.write.mode("overwrite").partitionBy("bot_id").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
+def open_points(spark: SparkSession, path: str, size: int) -> DataFrame | None:
+    """The stored points; None where there are none yet, or where their vectors
+    have another size and they are to be written anew."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        points = spark.read.parquet(path)
+    except AnalysisException:
+        return None
+    other = points.where(F.col("vector").isNotNull() & (F.size("vector") != size))
+    return points if other.isEmpty() else None
+
+
+def with_vectors(points: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
+    """`points` with the vector of their text (text, vector).  Texts are looked
+    up once each; a vector of another size is an error."""
+    held = vectors.dropDuplicates(["text"]).select("text", F.when(F.size("vector") == size, F.col("vector")).otherwise(F.raise_error(F.lit(f"a vector must have {size} numbers"))).alias("vector"))
+    return points.join(held, "text", "left")
+
+
+def require_points(points: DataFrame) -> DataFrame:
+    """`points`; an error if an ingest gave none."""
+    if points.isEmpty():
+        raise ValueError("no page gave a point")
+    return points
+
+
 def drop_bot(points: DataFrame, bot: str) -> DataFrame:
     """All points but a bot's."""
     return points.where(F.col("bot_id") != bot)

@@ -269,3 +269,27 @@ def test_flagship(spark):
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     plan = plans.scan_pages(spark, sf_dir).select("page_id").where("page_id > 3")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(page_id), GreaterThan(page_id,3)]" in plan and "ReadSchema: struct<page_id:bigint>" in plan
+
+
+def test_collections_are_checked(spark, tmp_path):
+    at = f"file://{tmp_path}/c"
+    assert sources.open_points(spark, at, 2) is None
+    points = spark.createDataFrame([("a", "t"), ("a", "u"), ("b", "t")], "bot_id string, text string")
+    vectors = spark.createDataFrame([("t", [1.0, 2.0]), ("t", [1.0, 2.0])], "text string, vector array<float>")
+    sources.write_points(sources.with_vectors(points, vectors, 2), at)
+    assert sources.open_points(spark, at, 2).where("vector is not null").count() == 2 and sources.open_points(spark, at, 3) is None
+    with pytest.raises(Exception, match="must have 3"):
+        sources.with_vectors(points, vectors, 3).collect()
+    with pytest.raises(ValueError, match="no page"):
+        sources.require_points(points.limit(0))
+
+
+def test_only_two_constraints_filter(spark):
+    rows = spark.createDataFrame([(5.0, False, 4.0, None), (5.0, False, 6.0, True), (5.0, False, None, True), (None, True, None, True), (None, True, 1.0, None), (None, False, None, None)], "most double, only boolean, price double, stock boolean")
+    assert [r[0] for r in rows.select(Q.payload_filter(*map(F.col, ("most", "only", "price", "stock")))).collect()] == [True, False, False, True, False, True]
+
+
+def test_provider_chain_and_scorer_input(spark):
+    rows = spark.createDataFrame([(0.03, None, 0.7, "q\n\ndoc", "", "t"), (0.03, None, None, "q", "c", "t")], "f double, a double, b double, q string, c string, t string")
+    got = rows.select(retrieval.chain(F.col("f"), F.col("a"), F.col("b")), retrieval.scored_query(F.col("q")), retrieval.scored_text(F.col("c"), F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [(0.7, "q", "t"), (0.03, "q", "c")]
