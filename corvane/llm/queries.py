@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import hpyp, language, media, mixing, packing, quality, secrets, similar, store, token_counts, token_files
+from corvane.sources.spread import spread
 
 BYTE_BPE, WORD_BPE = ("byte_bpe_50k.json", "leading"), ("word_bpe_49k.json", "words")
 
@@ -19,7 +20,7 @@ def _tokenizer(kind: tuple[str, str]) -> tuple[str, str]:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op1_hpyp(spark: SparkSession, sf_dir: str) -> DataFrame:
