@@ -251,6 +251,21 @@ GUARDRAILS = (
     r"(?i)disregard (?:your|all|any) (?:previous|prior|above) (?:instructions?|prompts?)",
 )
 
+#: replies to greetings in the order in which they are tried; @ is the business
+GREETING_REPLIES = (
+    (r"bye|goodbye|see ya|cya|farewell", "Goodbye! Have a great day!"),
+    (r"whats up|what's up|sup|what up", "Not much! I'm here to help you with any questions about @. What can I help you find today?"),
+    (r"how are you|how's it going|how do you do", "I'm doing great, thank you! How can I assist you with @ today?"),
+)
+GREETING_AGAIN = "Let me know if there's anything else I can help you find regarding @!"
+GREETING_FIRST = "Hi! I'm the AI assistant for @. How can I help you today?"
+GRATITUDE_REPLY = "Glad I could help! Let me know if there's anything else I can help you with regarding @."
+GUARDED_REPLY = "I'm here to help with questions about @. How can I assist you today?"
+#: what stands for a business without a name
+SITE, GOODS = "this website", "our products"
+#: the paths that a log takes; a gratitude turn isn't among them
+LOGGED_PATHS = ("semantic", "structured", "clarify", "greeting", "abstained", "none")
+
 PRONOUNS = r"(?i)\b(?:it|this|that|they|them|its|their|these|those|the product|the item)\b"
 IMPLICIT = r"(?i)^(?:give me the link|give link|link|show link|url|website link|where to buy|how to buy|what is the price|price|cost|is it in stock|buy link)\b"
 OBJECTION = r"(?i)\b(?:wrong|incorrect|not have|does not have|doesn't have|how can you say)\b"

@@ -218,21 +218,16 @@ def resolved(query: Column, history: Column, model: Column | None = None) -> Col
     return F.struct(F.coalesce(out, text).alias("text"), out.isNotNull().alias("was_resolved"))
 
 
+def _reply(text: str, business: Column, other: str) -> Column:
+    return F.replace(F.lit(text), F.lit("@"), F.coalesce(F.nullif(business, F.lit("")), F.lit(other)))
+
+
 def greeting_reply(message: Column, has_history: Column, business: Column, welcome: Column) -> Column:
     """The reply to a greeting.  Apostrophes are gone before the patterns run."""
     text = trim(F.regexp_replace(F.lower(message), "[,!?.']", " "))
-    name = lambda other: F.coalesce(F.nullif(business, F.lit("")), F.lit(other))
-    return (
-        F.when(text.rlike("bye|goodbye|see ya|cya|farewell"), "Goodbye! Have a great day!")
-        .when(text.rlike("whats up|what's up|sup|what up"), F.concat(F.lit("Not much! I'm here to help you with any questions about "), name("this website"), F.lit(". What can I help you find today?")))
-        .when(text.rlike("how are you|how's it going|how do you do"), F.concat(F.lit("I'm doing great, thank you! How can I assist you with "), name("this website"), F.lit(" today?")))
-        .when(has_history, F.concat(F.lit("Let me know if there's anything else I can help you find regarding "), name("our products"), F.lit("!")))
-        .otherwise(F.coalesce(F.nullif(welcome, F.lit("")), F.concat(F.lit("Hi! I'm the AI assistant for "), name("this website"), F.lit(". How can I help you today?"))))
-    )
-
-
-#: fixed values: the paths that a log takes; a gratitude turn isn't among them
-LOGGED = ("semantic", "structured", "clarify", "greeting", "abstained", "none")
+    rules = [(text.rlike(rule), _reply(said, business, P.SITE)) for rule, said in P.GREETING_REPLIES]
+    rules.append((has_history, _reply(P.GREETING_AGAIN, business, P.GOODS)))
+    return first_of(*rules, otherwise=F.coalesce(F.nullif(welcome, F.lit("")), _reply(P.GREETING_FIRST, business, P.SITE)))
 
 
 def route(label: Column, guarded: Column, abstained: Column | None = None) -> Column:
@@ -245,16 +240,15 @@ def route(label: Column, guarded: Column, abstained: Column | None = None) -> Co
 
 
 def is_logged(path: Column) -> Column:
-    return path.isin(*LOGGED)
+    return path.isin(*P.LOGGED_PATHS)
 
 
 def fixed_reply(message: Column, path: Column, has_history: Column, business: Column, welcome: Column) -> Column:
     """The reply of the paths that need no search and no model, else null."""
-    name = lambda other: F.coalesce(F.nullif(business, F.lit("")), F.lit(other))
     return (
-        F.when(path == "gratitude", F.concat(F.lit("Glad I could help! Let me know if there's anything else I can help you with regarding "), name("our products"), F.lit(".")))
+        F.when(path == "gratitude", _reply(P.GRATITUDE_REPLY, business, P.GOODS))
         .when(path == "greeting", greeting_reply(message, has_history, business, welcome))
-        .when(path == "none", F.concat(F.lit("I'm here to help with questions about "), name("this website"), F.lit(". How can I assist you today?")))
+        .when(path == "none", _reply(P.GUARDED_REPLY, business, P.SITE))
     )
 
 

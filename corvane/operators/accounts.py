@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import patterns as P
@@ -43,9 +43,10 @@ def totals(costed: DataFrame) -> DataFrame:
 
 
 def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key."""
-    place = F.row_number().over(Window.partitionBy(*key).orderBy(*(F.desc(c) for c in order)))
-    return rows.withColumn("_place", place).where("_place = 1").drop("_place")
+    """The last row of each key: one aggregate, so a key with very many rows is
+    reduced before it is shuffled."""
+    best = F.max_by(F.struct(*rows.columns), F.struct(*order))
+    return rows.groupBy(*key).agg(best.alias("corvane_last")).select("corvane_last.*")
 
 
 def feedback(logs: DataFrame, votes: DataFrame) -> DataFrame:

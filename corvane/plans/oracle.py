@@ -168,12 +168,8 @@ _reason = f"""CASE WHEN intent IN ('greeting', 'contact', 'vague') OR t = '' OR
 _low = trim("lower(coalesce(text, ''))")
 _english = f"({_low} = '' OR (NOT regexp_matches({_low}, '[^\\x20-\\x7E]') AND ({has(_low, P.ENGLISH_PHRASE)} OR list_has_any(string_split_regex({_low}, '[^a-z]+'), [{', '.join(map(L, P.ENGLISH_WORDS))}]))))"
 _g = "trim(regexp_replace(lower(text), '[,!?.'']', ' ', 'g'), chr(32) || chr(9) || chr(10) || chr(13))"
-_reply = case([
-    (f"regexp_matches({_g}, 'bye|goodbye|see ya|cya|farewell')", "'Goodbye! Have a great day!'"),
-    (f"regexp_matches({_g}, 'whats up|what''s up|sup|what up')", "'Not much! I''m here to help you with any questions about Acme. What can I help you find today?'"),
-    (f"regexp_matches({_g}, 'how are you|how''s it going|how do you do')", "'I''m doing great, thank you! How can I assist you with Acme today?'"),
-    ("has_history", "'Let me know if there''s anything else I can help you find regarding Acme!'"),
-], "'Hi! I''m the AI assistant for Acme. How can I help you today?'")
+_said = lambda text: L(text.replace("@", "Acme"))
+_reply = case([*((f"regexp_matches({_g}, {L(rule)})", _said(text)) for rule, text in P.GREETING_REPLIES), ("has_history", _said(P.GREETING_AGAIN))], _said(P.GREETING_FIRST))
 
 # --- retrieval ---
 _VEC = "(SELECT vec_id // 50 AS query, embedding AS v FROM embeddings WHERE vec_id % 50 = 0)"
@@ -249,7 +245,7 @@ def oracle_sql() -> dict[str, str]:
         "hyde_trigger": f"SELECT id, {_reason} AS reason FROM {INTENT} i",
         "expand_query": f"SELECT id, CASE WHEN ({_reason}) IS NULL AND {has('t', P.CATALOG)} THEN t || {L(' ' + P.CATALOG_SUFFIX)} ELSE t END AS expanded FROM {INTENT} i",
         "greeting_reply": f"SELECT id, {_reply} AS reply FROM {MESSAGES} m",
-        "chat_route": f"SELECT id, intent, rag_path, rag_path <> 'gratitude' AS logged, CASE rag_path WHEN 'gratitude' THEN 'Glad I could help! Let me know if there''s anything else I can help you with regarding Acme.' WHEN 'greeting' THEN {_reply} WHEN 'none' THEN 'I''m here to help with questions about Acme. How can I assist you today?' END AS reply FROM (SELECT *, CASE WHEN intent IN ('gratitude', 'greeting') THEN intent WHEN {' OR '.join(has('text', p) for p in P.GUARDRAILS)} THEN 'none' WHEN intent = 'vague' THEN 'clarify' WHEN intent = 'product' THEN 'structured' ELSE 'semantic' END AS rag_path FROM {INTENT} i)",
+        "chat_route": f"SELECT id, intent, rag_path, rag_path <> 'gratitude' AS logged, CASE rag_path WHEN 'gratitude' THEN {_said(P.GRATITUDE_REPLY)} WHEN 'greeting' THEN {_reply} WHEN 'none' THEN {_said(P.GUARDED_REPLY)} END AS reply FROM (SELECT *, CASE WHEN intent IN ('gratitude', 'greeting') THEN intent WHEN {' OR '.join(has('text', p) for p in P.GUARDRAILS)} THEN 'none' WHEN intent = 'vague' THEN 'clarify' WHEN intent = 'product' THEN 'structured' ELSE 'semantic' END AS rag_path FROM {INTENT} i)",
         "history_window": "SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END AS role, CASE WHEN role = 'assistant' AND length(text) > 250 THEN substr(text, 1, 250) || '...' ELSE coalesce(text, '') END AS content FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 4",
         "context_header": "SELECT doc_id, 'Document Title: Page | Page Type: product page' || ' | URL: ' || source AS header FROM documents",
         "chunk_uuid": f"SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-' || CASE (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 WHEN 0 THEN '8' WHEN 1 THEN '9' WHEN 2 THEN 'a' ELSE 'b' END || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM (SELECT doc_id, {_UUID} AS h FROM (SELECT doc_id, source AS url, '0_' || (doc_id % 7) AS ix, text FROM documents))",

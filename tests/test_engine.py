@@ -293,3 +293,41 @@ def test_provider_chain_and_scorer_input(spark):
     rows = spark.createDataFrame([(0.03, None, 0.7, "q\n\ndoc", "", "t"), (0.03, None, None, "q", "c", "t")], "f double, a double, b double, q string, c string, t string")
     got = rows.select(retrieval.chain(F.col("f"), F.col("a"), F.col("b")), retrieval.scored_query(F.col("q")), retrieval.scored_text(F.col("c"), F.col("t"))).collect()
     assert [tuple(r) for r in got] == [(0.7, "q", "t"), (0.03, "q", "c")]
+
+
+def test_random_texts_agree_between_engines(spark):
+    """Spark's and DuckDB's forms of the same patterns on random text."""
+    import random
+
+    from corvane.functions import patterns as P
+
+    r = random.Random(8)
+    bits = ["size", " ", "10", "red", "é", " ", "$", "5.5", "under", "vs", "compare", "and", "M", "-", "404", "page not found", "it", "\n", "Price:", "usd", "in stock", "@a.co", "x", "+1 555 222 3333", "9.5size", "| - |", "```", "日"]
+    texts = ["".join(r.choice(bits) + r.choice(["", " "]) for _ in range(r.randint(0, 12))) for _ in range(300)]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, t string")
+    con = duckdb.connect()
+    con.execute("create table x(id bigint, t varchar)")
+    con.executemany("insert into x values (?, ?)", list(enumerate(texts)))
+    flat = lambda v: [y for x in v for y in (flat(x) if isinstance(x, tuple) else [x])]
+    known = {n: p for n in dir(P) if n.isupper() and isinstance(p := getattr(P, n), (str, tuple))}
+    for name in ("PRICES", "OUT_OF_STOCK", "IN_STOCK", "PAGE_NUMBER_SIZE", "RANGE", "AT_MOST", "AT_LEAST", "NUMBER_SIZE", "STANDALONE_SIZE", "NO_SIZE", "COMPARES", "FLUFF", "COMPLEX", "PRONOUNS", "IMPLICIT", "SPEC_WORDS", "CORRECTION", "AMBIGUOUS", "ERROR_PAGES", "EMAIL", "PHONE", "GREETING", "DIRECT", "BOLD", "HTML_TAG"):
+        for pattern in [known[name]] if isinstance(known[name], str) else flat(known[name]):
+            got = dict(frame.select("id", F.array_join(F.regexp_extract_all("t", F.lit(P.java(pattern)), 0), "~")).collect())
+            want = dict(con.execute(f"select id, array_to_string(regexp_extract_all(t, {P.sql(pattern)}), '~') from x").fetchall())
+            assert got == want, (name, pattern)
+
+
+def test_dense_ranking_is_that_of_a_full_sort(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    points, queries = r.integers(-2, 3, (500, 4)).astype(float), r.integers(-2, 3, (9, 4)).astype(float)
+    p = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(points)], "id long, vector array<double>").repartition(5)
+    q = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(queries)], "query long, vector array<double>")
+    want = []
+    for k, x in enumerate(queries):
+        with np.errstate(invalid="ignore", divide="ignore"):
+            score = np.floor(points @ x / (np.linalg.norm(points, axis=1) * np.linalg.norm(x)) * 1e6 + 0.5)
+        found = sorted((-s, i) for i, s in enumerate(score) if np.isfinite(s) and s >= 50_000)[:30]
+        want += [(k, i, int(-s), n + 1) for n, (s, i) in enumerate(found)]
+    assert sorted(map(tuple, retrieval.dense(q, p).collect())) == sorted(want)
