@@ -21,7 +21,7 @@ import pyarrow as pa
 
 from corvane.llm import words as W
 
-_KEEP = 3_000_000
+_KEEP = 1_500_000
 
 
 def _leading(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -132,7 +132,7 @@ def encoded(batches, path: str, pieces: str, spans: bool = False, column: str =
     token offsets of its rows."""
     make = encoder(path, pieces, spans)
     for batch in batches:
-        for part in W.slices(batch, column, 4 << 20):
+        for part in W.slices(batch, column, 2 << 20):
             values, counts = make.ids(*W.flat(part.column(column)))
             yield part, values, np.concatenate([[0], np.cumsum(counts)])
 
