@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
-from urllib.parse import urljoin, urlsplit
+from urllib.parse import quote, urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -112,6 +112,10 @@ def _noise(n: Node) -> bool:
     return n.tag in NOISE or "cookie" in cls or "popup" in cls or n.attrs.get("role") == "alert"
 
 
+#: characters that an address keeps as they are
+_PATH_SAFE, _QUERY_SAFE = "!$%&'()*+,-./:;=@[]_|~", "!$%&()*+,-./:;=?@[]^_`{|}~"
+
+
 def _join(href: str, base: str | None) -> str:
     """The absolute form; an address without a path gets one."""
     if not base:
@@ -120,7 +124,7 @@ def _join(href: str, base: str | None) -> str:
     if full.scheme in ("http", "https"):
         if not full.netloc:
             raise ValueError(href)
-        full = full._replace(netloc=full.netloc.lower(), path=full.path or "/")
+        full = full._replace(netloc=full.netloc.lower(), path=quote(full.path.replace("\\", "/") or "/", safe=_PATH_SAFE), query=quote(full.query, safe=_QUERY_SAFE))
     return full.geturl()
 
 

@@ -284,6 +284,32 @@ def oracle_sql() -> dict[str, str]:
     out["search"] = f"""WITH near AS (SELECT f.query, f.id, f.rank, d.source, d.text, row_number() OVER (PARTITION BY f.query, d.source ORDER BY f.rank, f.id) AS own FROM {RRF} f JOIN documents d ON d.doc_id = f.id), pool AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank, id) AS r FROM near WHERE own <= 2)
 SELECT query, CAST(r AS INTEGER) AS rank, id, source AS url, CAST(floor(greatest(0.85::DOUBLE - (r - 1) * 0.02::DOUBLE, 0.70::DOUBLE) * 1e4 + 0.5) AS BIGINT) AS score, substr(text, 1, 80) AS excerpt FROM pool WHERE r <= 5"""
     out["sitemap_locs"] = "SELECT * FROM (VALUES ('https://e.com/a', 1), ('https://www.e.com/d', 1), ('https://e.com/z', 2)) AS v(url, depth)"
+    pages = f"(SELECT url, html FROM pages UNION ALL SELECT * FROM {X.values(X.PAGES)})"
+    good = "html IS NOT NULL AND NOT contains(html, '>null</script>')"
+    tags = lambda p: f"CAST(CASE WHEN {good} THEN len(regexp_extract_all(html, {S(p)})) WHEN html IS NULL THEN 0 END AS INTEGER)"
+    out["html_tables"] = f"SELECT url, {tags('(?i)<table' + chr(92) + 'b')} AS tables, {tags('(?i)<(?:pre|code)' + chr(92) + 'b')} AS code FROM {pages}"
+    body = "replace(regexp_replace(h, '(?s)<[^>]*>', '', 'g'), '&amp;', '&')"
+    out["html_headings"] = f"""SELECT url, CAST(row_number() OVER (PARTITION BY url, html ORDER BY pos) - 1 AS INTEGER) AS place, level, text FROM (SELECT url, html, pos, lower(regexp_extract(h, '(?i)^<(h[1-6])', 1)) AS level, {trim(body)} AS text FROM
+(SELECT url, html, unnest(l) AS h, generate_subscripts(l, 1) AS pos FROM (SELECT url, html, regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>') AS l FROM {pages} WHERE {good}))) WHERE text <> ''"""
+    coded = "url_encode(x)"
+    for code, char in (("%2F", "/"), ("%2C", ","), ("%21", "!"), ("%24", "$"), ("%25", "%"), ("%26", "&"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%2A", "*"), ("%2B", "+"), ("%3A", ":"), ("%3B", ";"), ("%3D", "="), ("%40", "@"), ("%5B", "["), ("%5D", "]"), ("%7C", "|")):
+        coded = f"replace({coded}, '{code}', {L(char)})"
+    hrefs = "list_transform(list_filter(regexp_extract_all(html, '(?is)<a[ ][^>]*?href=[\"'']([^\"'']*)[\"'']', 1), lambda x: starts_with(x, '/')), lambda x: regexp_replace(replace(x, '&amp;', '&'), '[?#].*$', ''))"
+    kept = f"list_filter(list_transform({hrefs}, lambda x: {coded}), lambda x: NOT {has('lower(x)', P.FILE_EXTENSION)} AND NOT {has('lower(x)', P.ASSET_PATH)})"
+    out["page_links"] = f"SELECT url, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS place, {SCHEME} || '://' || {HOST_RAW} || unnest(l) AS link FROM (SELECT url, ({uniq('k')})[1:50] AS l FROM (SELECT url, {kept} AS k FROM {pages} WHERE url <> '' AND {good}))"
+    bold = trim(f"regexp_replace(regexp_extract(m, {S(P.BOLD)}, 1), {S(P.BOLD_PREFIX)}, '')")
+    link = trim(f"regexp_replace(regexp_extract(m, {S(P.LINK_TEXT)}, 1), {S(P.LINK_PREFIX)}, '')")
+    is_bold, is_link = f"({has('m', P.BOLD)} AND NOT {has(bold, P.GENERIC_BOLD)})", has("m", P.LINK_TEXT)
+    seen = f"list_transform(recent, lambda m: {{'done': {is_bold} OR ({is_link} AND length({link}) > 2 AND NOT {has(link, P.GENERIC_LINK)}), 'link': {is_link} AND NOT {is_bold}, 'name': CASE WHEN {is_bold} THEN {bold} WHEN {is_link} THEN {link} ELSE '' END}})"
+    needed = f"(pronoun OR {has('t', P.IMPLICIT)} OR {has('t', P.OBJECTION)} OR short) AND NOT alone AND t <> ''"
+    rest = trim(f"regexp_replace(t, {S(P.PRONOUNS)}, '', 'g')")
+    joined = trim(f"name || CASE WHEN {has('t', P.SPEC_WORDS)} THEN {L(f' {P.SPEC_SUFFIX} ')} ELSE ' ' END || {rest}")
+    turns = """(SELECT 'c_' || conv_id || '_' || turn AS id, text AS query, coalesce(list_reverse(recent), []) AS recent, role FROM (SELECT *, list(coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS recent FROM conversations))"""
+    runs = S(r"\s+")
+    out["resolve_followup"] = f"""WITH a AS (SELECT id, query, recent FROM {turns} WHERE role = 'user' UNION ALL SELECT id, query, list_filter(string_split(recent, '~'), lambda m: m <> '') FROM {X.values(X.FOLLOW)}),
+b AS (SELECT *, {trim("coalesce(query, '')")} AS t, {seen} AS seen FROM a), c AS (SELECT *, {has('t', P.PRONOUNS)} AS pronoun, {has('t', P.STANDALONE)} AND NOT {has('t', P.PRONOUNS)} AS alone, coalesce(list_filter(seen, lambda v: v.done)[1].name, list_filter(seen, lambda v: v.link)[-1].name, '') AS name FROM b),
+d AS (SELECT *, len(string_split_regex(t, {runs})) <= 4 AND NOT alone AS short FROM c), e AS (SELECT id, t, CASE WHEN {needed} AND len(recent) > 0 AND name <> '' THEN CASE WHEN pronoun OR {has('t', P.IMPLICIT)} OR short THEN {joined} ELSE name || ' ' || t END END AS r FROM d)
+SELECT id, coalesce(r, t) AS resolved, r IS NOT NULL AS was_resolved FROM e"""
     golden = f"(SELECT item_id AS query, text, item_id IN (SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(lower(d.text), lower(b.text)))) AS should_abstain FROM benchmark)"
     hits = f"(SELECT query, min(s.rank) AS rank FROM {BM25} s JOIN documents d ON d.doc_id = s.id JOIN {golden} g USING (query) WHERE contains(lower(d.text), lower(g.text)) GROUP BY query)"
     share = lambda x, n: f"CASE WHEN {n} > 0 THEN CAST(floor(coalesce({x}, 0) / {n} * 1e6 + 0.5) AS BIGINT) END"
