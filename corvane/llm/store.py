@@ -77,3 +77,9 @@ def drop_frame(frame: DataFrame) -> None:
     """Removes the table behind what `keep` returned."""
     for file in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
         drop(frame.sparkSession, file)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Removes all tables that `place` has named in the shared folder; for when
+    no result that reads them is needed any more."""
+    drop(spark, f"{folder(spark)}/corvane")
