@@ -21,7 +21,8 @@ import pyarrow as pa
 
 from corvane.llm import words as W
 
-_KEEP = 1_500_000
+#: pieces that a worker keeps at most, and those that it keeps apart
+_KEEP, _FEW = 2_000_000, 100_000
 
 
 def _leading(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -55,9 +56,41 @@ class Encoder:
         self._forget()
 
     def _forget(self):
-        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.at = np.zeros(1, np.int64)
-        self.values = np.zeros((3 if self.spans else 1, 0), np.int32)
+        """What is known: two tables of keys and slots, the second small, so that
+        new pieces don't move all; slot k's ids are values[at[k] : at[k + 1]]."""
+        self.known = [(np.zeros(0, np.uint64), np.zeros(0, np.uint32)) for _ in range(2)]
+        self.slots, self.at = 0, np.zeros(1 << 12, np.uint32)
+        narrow = not self.spans and self.tokenizer.get_vocab_size() <= 1 << 16
+        self.values = np.zeros((3 if self.spans else 1, 1 << 14), np.uint16 if narrow else np.int32)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, -1 where it isn't known."""
+        out = np.full(len(keys), -1, np.int64)
+        for own, slot in self.known:
+            todo = np.flatnonzero(out < 0)
+            if len(own) and len(todo):
+                place = np.minimum(np.searchsorted(own, keys[todo]), len(own) - 1)
+                out[todo] = np.where(own[place] == keys[todo], slot[place].astype(np.int64), -1)
+        return out
+
+    def _learn(self, keys: np.ndarray, counts: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Keeps the ids of new ascending keys; their slots."""
+        slots, end = self.slots + np.arange(len(keys)), int(self.at[self.slots])
+        while self.slots + len(keys) + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros(len(self.at) // 4 + 1, np.uint32)])
+        while end + values.shape[1] > self.values.shape[1]:
+            self.values = np.concatenate([self.values, np.zeros((len(self.values), self.values.shape[1] // 4 + 1), self.values.dtype)], axis=1)
+        self.at[self.slots + 1 : self.slots + 1 + len(keys)] = end + np.cumsum(counts)
+        self.values[:, end : end + values.shape[1]] = values
+        self.slots += len(keys)
+        few, slot = self.known[1]
+        place = np.searchsorted(few, keys)
+        self.known[1] = np.insert(few, place, keys), np.insert(slot, place, slots.astype(np.uint32))
+        if len(self.known[1][0]) > _FEW:
+            (all_, of), (few, slot) = self.known
+            place = np.searchsorted(all_, few)
+            self.known = [(np.insert(all_, place, few), np.insert(of, place, slot)), (few[:0], slot[:0])]
+        return slots
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.spans:
@@ -88,27 +121,21 @@ class Encoder:
         if not len(starts):
             return np.zeros((3 if self.spans else 1, 0), np.int32), np.zeros(rows, np.int64)
         distinct, first, which = np.unique(W.hashes(data, starts, ends), return_index=True, return_inverse=True)
-        place = np.searchsorted(self.keys, distinct)
-        known = place < len(self.keys)
-        known[known] = self.keys[place[known]] == distinct[known]
-        if not known.all():
-            if len(self.keys) > _KEEP:
+        slot = self._find(distinct)
+        if (slot < 0).any():
+            if self.slots > _KEEP:
                 self._forget()
-                place, known = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), bool)
-            new = first[~known]
-            raw = data.tobytes()
-            counts, values = self._encode([raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
-            slots = len(self.at) - 1 + np.arange(len(new))
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(counts)])
-            self.values = np.concatenate([self.values, values], axis=1)
-            self.keys = np.insert(self.keys, place[~known], distinct[~known])
-            self.slot = np.insert(self.slot, place[~known], slots)
-            place = np.searchsorted(self.keys, distinct)
-        slot = self.slot[place][which]
-        low, n = self.at[slot], self.at[slot + 1] - self.at[slot]
+                slot[:] = -1
+            new = np.flatnonzero(slot < 0)
+            raw, at = data.tobytes(), first[new]
+            found = self._encode([raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            slot[new] = self._learn(distinct[new], *found)
+        slot = slot[which]
+        low = self.at[slot].astype(np.int64)
+        n = self.at[slot + 1].astype(np.int64) - low
         out = np.cumsum(n) - n
         total = int(out[-1] + n[-1])
-        values = self.values[:, np.repeat(low - out, n) + np.arange(total)]
+        values = self.values[:, np.repeat(low - out, n) + np.arange(total)].astype(np.int32)
         row = W.rows_of(starts, offsets)
         if self.spans:
             point = np.concatenate([[0], np.cumsum(W.code_points(data))])

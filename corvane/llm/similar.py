@@ -171,9 +171,9 @@ def leaves(classes: DataFrame, runs: int, threshold: float, depth: int, small: i
     paths = store.keep(classes.where("n > 0").select("cid", "sig").mapInArrow(_begin(runs, threshold), "path long, cid long"), "paths")
     found = []
     for level in range(2, depth + 1):
-        # as a table it is broadcast while it is small, and a hot path can be dealt out beyond
+        # a table, so that both sides of the join are plain and a hot path can be dealt out
         many = store.keep(paths.groupBy("path").count().where("count > 1"), "many")
-        sized = store.keep(paths.join(store.small(many, FEW), "path"), "sized")
+        sized = store.keep(paths.join(many, "path"), "sized")
         parts = F.lit(1).cast("long") if level < depth else F.ceil(F.greatest(F.col("count") - small, F.lit(0)) / block) + F.when(F.col("count") > small, 0).otherwise(1)
         found.append(sized.where(F.lit(level == depth) | (F.col("count") <= small)).select("path", "cid", parts.cast("int").alias("parts")))
         big = sized.where(f"count > {small}")
