@@ -139,6 +139,23 @@ def test_gibbs_matches_the_exact_number_of_tables():
     assert abs((s.tables() == 2).mean() - 0.7 / 1.3) < 0.02
 
 
+@pytest.mark.parametrize(("n", "fresh", "discount"), [(1_000, 3.0, 0.6), (1_000, 900.0, 0.5), (100_000, 3.0, 0.6), (100_000, 40.0, 0.8)])
+def test_numbers_of_tables_have_the_exact_law(n, fresh, discount):
+    """Against weights added up one customer after another."""
+    t = np.arange(1, min(n, 300 if n > 1_000 else n) + 1)
+    logs = np.full(len(t), -np.inf)
+    logs[0] = 0.0
+    with np.errstate(divide="ignore"):
+        for k in range(1, n):
+            logs = np.logaddexp(logs + np.log(np.maximum(k - discount * t, 1e-300)), np.append(-np.inf, logs[:-1]))
+    law = np.exp(logs + t * np.log(fresh) - (logs + t * np.log(fresh)).max())
+    law /= law.sum()
+    got = seating.draw(np.array([1, 2, *[n] * 20_000]), np.full(20_002, fresh), discount, np.random.default_rng(5))
+    assert got[0] == 1 and got[1] in (1, 2)
+    share = np.bincount(got[2:], minlength=len(t) + 1)[1:] / 20_000
+    assert abs(np.cumsum(share) - np.cumsum(law)).max() < 1.95 / math.sqrt(20_000)
+
+
 def test_targets_stop_at_three_times():
     got = mixing.targets([10, 100, 1000], [1, 2, 3], 1110)
     assert got[0] == 30 and got[1] == 300 and abs(sum(got) - 1110) < 1e-6
