@@ -119,6 +119,17 @@ def test_hpyp_predictions_sum_to_one():
         assert abs((10.0 ** hpyp.unpack(logs, np.float32).astype(float)).sum() - 1) < 1e-4
 
 
+def test_hpyp_rare_contexts_keep_their_own_tokens(spark):
+    """Pairs seen twice in 400,000 tokens: a context's own token after it."""
+    r = random.Random(6)
+    rows = [(k, " ".join(r.choice("abcdefghij") + r.choice("klmnop") for _ in range(4_000)), False) for k in range(100)]
+    rows += [(200 + k, " ".join(f"rare{j} next{j}" for j in range(300)), False) for k in range(2)]
+    rows += [(300, " ".join(f"rare{j} next{j}" for j in range(300)), True), (301, " ".join(f"rare{j} next{(j + 7) % 300}" for j in range(300)), True)]
+    got = {x.doc_id: x for x in hpyp.score(spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(3), tokens=100_000).collect()}
+    assert got[300].n_known == got[301].n_known == got[300].n_tokens and abs(got[300].base_score - got[301].base_score) < 1e-6
+    assert got[300].score - got[301].score > 300 * 0.3
+
+
 def test_seating_keeps_customers():
     rng = np.random.default_rng(3)
     n = rng.integers(1, 60, 200)
