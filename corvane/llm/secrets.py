@@ -32,12 +32,12 @@ from corvane.llm.forest import Forest
 PATTERNS = (
     ("private_key", "-----BEGIN", r"(?P<v>-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----)"),
     ("cloud_key", "AKIA", r"\b(?P<v>AKIA[0-9A-Z]{16})\b"),
-    ("forge_token", "gh", r"\b(?P<v>gh[pousr]_[A-Za-z0-9]{36,255})\b"),
+    ("forge_token", "gh", r"\b(?P<v>gh[pousr]_[A-Za-z0-9]{36,}+)\b"),
     ("chat_token", "xox", r"\b(?P<v>xox[abprs]-[A-Za-z0-9-]{10,})\b"),
     ("map_key", "AIza", r"\b(?P<v>AIza[0-9A-Za-z_-]{35})\b"),
     ("web_token", "eyJ", r"\b(?P<v>eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"),
-    ("assigned", None, r"(?i:password|passwd|pwd|secret|token|api_?-?key|access_?-?key|auth_?-?key|credential)s?[\"']?[ \t]{0,4}(?::|=|=>|:=)[ \t]{0,4}[\"']?(?P<v>[^\s\"'<>,;]{6,256})"),
-    ("opaque", None, r"(?<![0-9A-Za-z+/_=-])(?P<v>(?=[A-Za-z+/_-]{0,255}[0-9])[0-9A-Za-z+/_-]{32,256}={0,2})(?![0-9A-Za-z+/_=-])"),
+    ("assigned", None, r"(?i:password|passwd|pwd|secret|token|api_?-?key|access_?-?key|auth_?-?key|credential)s?[\"']?[ \t]{0,4}(?::|=|=>|:=)[ \t]{0,4}[\"']?(?P<v>[^\s\"'<>,;]{6,}+)"),
+    ("opaque", None, r"(?<![0-9A-Za-z+/_=-])(?P<v>(?=[A-Za-z+/_-]*+[0-9])[0-9A-Za-z+/_-]{32,}+={0,2}+)(?![0-9A-Za-z+/_=-])"),
 )
 _RULES = [(name, must, re.compile(pattern)) for name, must, pattern in PATTERNS]
 _ASSIGN = re.compile(r"(?i)password|passwd|pwd|secret|token|key|credential")
@@ -101,7 +101,7 @@ def findings(n: int = 2_400, seed: int = 3) -> list[tuple[str, str, str, str, bo
         path = r.choice(["src0", "web/page", "blog", "config/prod", "app/main", "forum", ""])
         after, quote = " " + prose(3), r.choice(['"', "'", ""])
         if k % 2:
-            form = r.randrange(8)
+            form = r.randrange(9)
             before = f"{prose(4)} {key()}{join()}{quote}"
             if form == 0:
                 value, before = "AKIA" + some(upper, 16), r.choice([f"{prose(4)} ", before])
@@ -117,11 +117,13 @@ def findings(n: int = 2_400, seed: int = 3) -> list[tuple[str, str, str, str, bo
                 value = some(mixed, r.randint(24, 64))
             elif form == 6:
                 value = "xoxb-" + some("0123456789", 12) + "-" + some(mixed, 24)
+            elif form == 7:
+                value, before = some(mixed + "+/", r.choice([r.randint(100, 300), 300, 400, 1_000])), r.choice([f"{prose(4)} ", before])
             else:
                 value = some(hexes, r.choice([16, 18, 20, 24, 32, 40, 64]))
             out.append((value, before, quote + after, path, True))
         else:
-            form = r.randrange(7)
+            form = r.randrange(8)
             if form == 0:
                 value, before = word() + word(), f"{prose(3)} {key()}{join()}{quote}"
             elif form == 1:
@@ -133,7 +135,9 @@ def findings(n: int = 2_400, seed: int = 3) -> list[tuple[str, str, str, str, bo
             elif form == 4:
                 value, before = "-".join(word() for _ in range(8)) + "-" + some("0123456789", 2), f"{prose(4)} "
             elif form == 5:
-                value, before = some("0123456789", r.randint(32, 48)), f"{prose(4)} "
+                value, before = some("0123456789", r.choice([r.randint(32, 48), r.randint(100, 1_000)])), f"{prose(4)} "
+            elif form == 6:
+                value, before = r.choice("-/_").join(word() for _ in range(r.randint(20, 200))) + "-" + some("0123456789", 2), r.choice([f"{prose(4)} ", f"{prose(3)} {key()}{join()}{quote}"])
             else:
                 value, before = "/".join(word() for _ in range(9)) + "/" + some("0123456789", 3), f"{prose(4)} "
                 path = r.choice(["docs/api", "tests/data", path])

@@ -505,6 +505,32 @@ def test_secret_forest_and_redaction(spark, docs, none):
     assert secrets.scan(none).count() == 0 and secrets.redact(none).count() == 0
 
 
+@pytest.mark.parametrize("n", [300, 1_000])
+def test_long_secrets_are_found_whole(spark, n):
+    r = random.Random(n)
+    some = lambda: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    values = [some(), some(), "ghp_" + some(), "a" * 300 + some()]
+    texts = [f"the key aws_session_token={values[0]} of it", f"words around {values[1]}== in prose", f"a {values[2]}, here", f"secret: '{values[3]}'"]
+    values[1] += "=="
+    rows = spark.createDataFrame([(k, t, "src0", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, source string, n_chars long")
+    for x in secrets.scan(rows).collect():
+        assert texts[x.doc_id][x.start : x.stop] == values[x.doc_id]
+    assert secrets.scan(rows).count() == 4
+    assert secrets.scan(rows).where("secret and doc_id < 3").count() == 3
+    clean = {x.doc_id: (x.text, x.n_chars) for x in secrets.redact(rows).collect()}
+    for k in range(3):
+        text = texts[k].replace(values[k], "[SECRET]")
+        assert clean[k] == (text, len(text))
+    long = secrets.findings(600, seed=41)
+    assert {len(v) for v, *_, label in long if label} >= {300, 1_000}
+
+
+def test_patterns_stay_linear_on_long_runs():
+    for text in ("a" * 200_000, "token=" * 40_000, "a" * 200_000 + "=" * 5, "token=" + "a-" * 200_000, "x1=" * 100_000):
+        secrets.candidates(text)
+    assert secrets.candidates("a" * 200_000 + "1") == [(0, 200_001, "opaque")]
+
+
 def test_pipeline_stages_in_order(spark, docs, none):
     import corpus_pipeline as P
 
