@@ -10,7 +10,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
@@ -46,11 +48,29 @@ def keep(frame: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(at)
 
 
+def keep_by(frame: DataFrame, name: str, key: str, parts: int) -> DataFrame:
+    """Like `keep`, in `parts` buckets by `key`: grouping by the key, or joining
+    by it with a side that is shuffled into as many partitions, moves no row of
+    this table."""
+    spark, at = frame.sparkSession, place(frame.sparkSession, name)
+    table = f"corvane_{at.rsplit('/', 1)[1].replace('-', '_')}"
+    frame.write.option("compression", "zstd").option("path", at).bucketBy(parts, key).saveAsTable(table)
+    return spark.table(table)
+
+
+def labels(spark: SparkSession, parts: int) -> np.ndarray:
+    """For each of `parts` partitions a whole number that Spark's hash sends there,
+    so that groups named by them spread evenly over partitions and buckets."""
+    found, n = {}, 16 * parts + 64
+    while len(found) < parts:
+        rows = spark.range(n).select(F.col("id"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("at")).groupBy("at").agg(F.min("id")).collect()
+        found, n = dict(map(tuple, rows)), 4 * n
+    return np.array([found[k] for k in range(parts)])
+
+
 def small(frame: DataFrame, rows: int) -> DataFrame:
     """`frame`, to be broadcast if it has at most `rows` rows.  It must lie in a
     table, as it is counted; beyond that Spark shuffles both sides."""
-    from pyspark.sql import functions as F
-
     return F.broadcast(frame) if frame.count() <= rows else frame
 
 
