@@ -11,11 +11,11 @@ from corvane.operators import html
 from corvane.operators.gate import skip_reason
 
 
-def normalize(pages: DataFrame) -> DataFrame:
+def normalize(pages: DataFrame, *carried: str) -> DataFrame:
     """url, title, type, text, contacts, headings, metrics, shop metadata, hash,
-    and the gate's reason, of pages (columns url, html).  Input that isn't HTML
-    is read as Markdown."""
-    rows = html.with_tree(pages.select("url", "html").withColumn("is_html", X.is_html(F.col("html"))))
+    and the gate's reason, of pages (columns url, html), with the columns to be
+    carried along.  Input that isn't HTML is read as Markdown."""
+    rows = html.with_tree(pages.select("url", "html", *carried).withColumn("is_html", X.is_html(F.col("html"))))
     t, raw, web = F.col("tree"), F.col("html"), F.col("is_html")
     ld = F.when(F.coalesce(t["ld_text"], F.lit("")) != "", F.concat(F.lit("## Structured Data (JSON-LD)\n"), t["ld_text"], F.lit("\n\n"))).otherwise("")
     rows = rows.withColumn("text", F.when(web, X.strip_noise(F.concat(ld, F.coalesce(t["markdown"], F.lit(""))))).otherwise(X.trim(F.coalesce(raw, F.lit("")))))
@@ -25,7 +25,7 @@ def normalize(pages: DataFrame) -> DataFrame:
     merged = lambda links, found: F.slice(F.array_distinct(F.concat(F.coalesce(links, F.array().cast("array<string>")), found)), 1, 5)
     price = X.price(text)
     rows = rows.select(
-        "url", "title", "text", t["error"].alias("error"),
+        *carried, "url", "title", "text", t["error"].alias("error"),
         F.when(web, U.page_type(F.col("url"), t["ld_types"], t["og"], t["title"], t["body"])).otherwise(U.page_type(F.col("url"))).alias("page_type"),
         merged(t["mails"], X.emails(scan)).alias("emails"), merged(t["calls"], X.phones(scan)).alias("phones"),
         F.when(web, t["headings"]).otherwise(X.md_headings(raw)).alias("headings"), t["links"].alias("links"),

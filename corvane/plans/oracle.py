@@ -316,4 +316,7 @@ SELECT id, coalesce(r, t) AS resolved, r IS NOT NULL AS was_resolved FROM e"""
     inside, outside = "sum(CAST(NOT should_abstain AS INT))", "sum(CAST(should_abstain AS INT))"
     out["eval_recall"] = f"""WITH top AS (SELECT query, max(score) AS top FROM {BM25} GROUP BY query), r AS (SELECT g.query, should_abstain, coalesce(top, 0) < 40000000 AS abstained, CASE WHEN NOT (coalesce(top, 0) < 40000000) AND NOT should_abstain THEN h.rank END AS rank FROM {golden} g LEFT JOIN top USING (query) LEFT JOIN {hits} h USING (query))
 SELECT count(*) AS queries, {share('CAST(sum(CAST(rank = 1 AS INT)) AS DOUBLE)', inside)} AS recall_1, {share('CAST(sum(CAST(rank <= 5 AS INT)) AS DOUBLE)', inside)} AS recall_5, {share('sum(1.0::DOUBLE / rank)', inside)} AS mrr, {share('CAST(sum(CAST(should_abstain AND abstained AS INT)) AS DOUBLE)', outside)} AS abstention FROM r"""
-    return out
+    # these are made of what this module has
+    from corvane.plans import pages_sql, structure_sql
+
+    return out | structure_sql.oracle_sql() | pages_sql.oracle_sql()

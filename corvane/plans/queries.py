@@ -99,8 +99,12 @@ def html_headings(spark, sf_dir):
     return _tree(spark, sf_dir).select("url", F.posexplode("headings").alias("place", "h")).select("url", "place", "h.level", "h.text")
 
 
+def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(S.scan(spark, f"{sf_dir}/pages.parquet", "page_id", "url", "html"))
+
+
 def html_markdown(spark, sf_dir):
-    return _tree(spark, sf_dir).select("url", "markdown", "error")
+    return html.with_tree(read(spark, sf_dir)).select("url", "tree.markdown", "tree.error")
 
 
 def html_tables(spark, sf_dir):
@@ -115,19 +119,16 @@ def jsonld_lines(spark, sf_dir):
     return _tree(spark, sf_dir).where("ld_text <> '' or error is not null").select("url", "ld_text", bars(F.col("ld_types")).alias("types"), "error")
 
 
-def normalized(spark, sf_dir):
-    return normalize.normalize(fetched(spark, sf_dir))
-
-
 def ingest_status(spark, sf_dir):
     """Pages and chunks by status."""
-    rows = accounts.ingest_status(normalized(spark, sf_dir))
+    rows = accounts.ingest_status(normalize.normalize(read(spark, sf_dir)))
     return rows.groupBy("status", "page_type").agg(F.count("*").alias("pages"), F.sum(F.coalesce("words", F.lit(0))).alias("words"))
 
 
 def business_name(spark, sf_dir):
-    rows = accounts.ingest_status(normalized(spark, sf_dir)).withColumn("page_no", F.xxhash64("url"))
-    return accounts.business_name(rows)
+    """By the page that was fetched first."""
+    rows = normalize.normalize(read(spark, sf_dir).withColumnRenamed("page_id", "page_no"), "page_no")
+    return accounts.business_name(accounts.ingest_status(rows))
 
 
 def sitemap_locs(spark, sf_dir):
@@ -172,7 +173,7 @@ def chunk_uuid(spark, sf_dir):
 
 def chunk_points(spark, sf_dir):
     """Points of all pages' chunks, without vectors."""
-    pages = accounts.ingest_status(normalized(spark, sf_dir)).where("status = 'completed'")
+    pages = accounts.ingest_status(normalize.normalize(read(spark, sf_dir))).where("status = 'completed'")
     rows = structure.with_chunks(pages.select("url", "title", "page_type", "text", "emails", "phones", "price", "currency", "in_stock", "colors", "sizes", F.transform("headings", lambda h: h["text"]).alias("topics")))
     header = structure.context_header(F.col("title"), F.col("page_type"), F.col("url"), F.col("topics"))
     said = structure.contextual(F.col("chunk_text"), F.col("title"), header)
