@@ -121,19 +121,29 @@ def chosen(text: Column, values: tuple[str, ...], pattern: str, name) -> Column:
 
 
 ALPHA_SIZE = r"(?i)\b(?:size\s+@|@\s+size|size\s*:\s*@)\b"
+#: its parts, each with the size alone
+SIZE_WORDS = (r"(?i)\bsize\s+(@)\b", r"(?i)\b(@)\s+size\b", r"(?i)\bsize\s*:\s*(@)\b")
 
 
 def _upper(size: str) -> str:
     return size.upper() if len(size) <= 3 else size
 
 
+def listed(text: Column, values: tuple[str, ...], patterns: tuple[str, ...], name) -> Column:
+    """Like `chosen` for values of which none can hide another in a text, with a
+    scan for each pattern and none for each value."""
+    every = "|".join(values)
+    found = F.transform(F.concat(*(F.regexp_extract_all(text, F.lit(java(p.replace("@", every))), 1) for p in patterns)), F.lower)
+    return distinct(F.transform(F.filter(F.array(*(F.struct(F.lit(v.lower()).alias("key"), F.lit(name(v)).alias("name")) for v in values)), lambda v: F.array_contains(found, v["key"])), lambda v: v["name"]))
+
+
 def page_colors(text: Column) -> Column:
-    return chosen(text, P.PAGE_COLORS, r"(?i)\b@\b", str)
+    return listed(text, P.PAGE_COLORS, (r"(?i)\b(@)\b",), str)
 
 
 def page_sizes(text: Column) -> Column:
     numbers = F.regexp_extract_all(text, F.lit(java(P.PAGE_NUMBER_SIZE)), 1)
-    return distinct(F.concat(chosen(text, P.PAGE_SIZES, ALPHA_SIZE, _upper), numbers))
+    return distinct(F.concat(listed(text, P.PAGE_SIZES, SIZE_WORDS, _upper), numbers))
 
 
 def page_stock(text: Column) -> Column:

@@ -13,7 +13,7 @@ RECENT, MOST_REPLY = 4, 250
 def turns(messages: DataFrame) -> DataFrame:
     """`messages` (conv_id, turn, role, text) with what came before each: the
     last four newest first, the last thing the user said, whether anything did."""
-    own = Window.partitionBy("conv_id").orderBy("turn")
+    own = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     before = own.rowsBetween(Window.unboundedPreceding, -1)
     said = F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(before)
     recent = F.reverse(F.collect_list(F.coalesce("text", F.lit(""))).over(own.rowsBetween(-RECENT, -1)))
@@ -22,7 +22,7 @@ def turns(messages: DataFrame) -> DataFrame:
 
 def history_window(messages: DataFrame) -> DataFrame:
     """The last four messages of each conversation as a prompt takes them."""
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("role"), F.desc("text")))
     assistant = F.col("role") == "assistant"
     text = F.coalesce("text", F.lit(""))
     cut = F.when(assistant & (F.length(text) > MOST_REPLY), F.concat(F.substring(text, 1, MOST_REPLY), F.lit("..."))).otherwise(text)

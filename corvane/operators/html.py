@@ -26,6 +26,8 @@ NOISE = frozenset("script style noscript iframe svg template header footer nav".
 WRAPPERS = frozenset("div section article main table tbody thead form".split())
 PARAGRAPHS = frozenset("p div section article blockquote main figure ul ol form details".split())
 MOST_DEPTH = 80
+#: characters that a table may be written in, as inner ones are written again
+MOST_TABLE = 16_000_000
 _OLD_PRICE = re.compile(r"\b(?:compare-price|was-price|old-price|original-price|strikethrough|strike)\b", re.I | re.A)
 _NEW_PRICE = re.compile(r"\b(?:current-price|sale-price|now-price|offer-price|price-new|final-price|special-price|regular-price|price--regular)\b", re.I | re.A)
 _MAIL = re.compile(r"[^\s@]+@[^\s@]+\.[^\s@]+\Z")
@@ -133,6 +135,8 @@ class Markdown:
 
     def __init__(self, base: str | None = None):
         self.base = base
+        #: cells that inner tables have written, by how deep they are
+        self.cells: dict[tuple[int, int], str] = {}
 
     def page(self, root: Node) -> str:
         top = next(root.every("body"), root)
@@ -170,15 +174,25 @@ class Markdown:
 
     def table(self, n: Node, depth: int) -> str:
         """All rows below, those of inner tables too; a rule after the first."""
-        rows = []
+        rows, size = [], 0
         for k, tr in enumerate(x for x in n.every("tr") if not self._hidden(x, n)):
-            cells = [_flat(self.walk(c, depth + 1)).replace("|", "\\|") for c in tr.every("th", "td") if not self._hidden(c, tr)]
+            cells = [self.cell(c, depth + 1) for c in tr.every("th", "td") if not self._hidden(c, tr)]
+            size += sum(map(len, cells))
+            if size > MOST_TABLE:
+                raise ValueError(f"a table of over {MOST_TABLE} characters")
             if cells:
                 rows.append("| " + " | ".join(cells) + " |")
                 if k == 0:
                     rows.append("| " + " | ".join("---" for _ in cells) + " |")
         return "\n\n" + "\n".join(rows) + "\n\n" if rows else ""
 
+    def cell(self, n: Node, depth: int) -> str:
+        """A cell's text, made once although each table around it asks."""
+        key = id(n), depth
+        if key not in self.cells:
+            self.cells[key] = _flat(self.walk(n, depth)).replace("|", "\\|")
+        return self.cells[key]
+
     @staticmethod
     def _hidden(n: Node, top: Node) -> bool:
         while n is not top:

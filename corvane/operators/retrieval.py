@@ -11,8 +11,10 @@ import math
 import re
 from collections import Counter
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +24,9 @@ from corvane.functions.text import has
 TOP, LEAST_DENSE, RRF, CAP, POOL, KEPT = 30, 0.05, 60, 2, 12, 5
 LEAST_RERANK, LEAST_TOP, LEAST_TOP_CATALOG = 0.10, 0.05, 0.10
 K1, B = 1.2, 0.75
-#: queries that are compared with all points at once; more go in several passes
-QUERY_BLOCK = 4_096
+#: queries that are compared with all points at once, their bytes, and the cells of
+#: the matrix of queries and terms; more go in several passes
+QUERY_BLOCK, QUERY_BYTES, QUERY_CELLS = 4_096, 32_000_000, 32_000_000
 
 
 def micro(x: Column) -> Column:
@@ -49,54 +52,77 @@ def _keep(held: np.ndarray, score: np.ndarray, ids: np.ndarray, limit: int, leas
     return both[np.lexsort((both[:, 1], -both[:, 0]))[:limit]]
 
 
-def _best(queries: np.ndarray, names: np.ndarray, limit: int, least: float | None):
-    """Scores a partition's points against a block of queries in matrix products
-    and keeps `limit` a query."""
-    schema = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
-    size = np.linalg.norm(queries, axis=1)
+_FOUND = "query long, id long, score long"
+_FOUND_SCHEMA = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
+
+
+def _rows(names: np.ndarray, held: list[np.ndarray]) -> pa.RecordBatch:
+    many = np.array([len(h) for h in held], np.int64)
+    rows = np.concatenate(held) if len(held) else np.zeros((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(names, many)), pa.array(rows[:, 1]), pa.array(rows[:, 0])], schema=_FOUND_SCHEMA)
+
+
+def _hopeful(score: np.ndarray, held: list[np.ndarray], limit: int, least: float | None) -> np.ndarray:
+    """The queries that get something better than what they hold."""
+    low = np.array([h[-1, 0] if len(h) == limit else -np.inf for h in held])
+    if least is not None:
+        low = np.maximum(low, math.floor(least * 1e6 + 0.5))
+    with np.errstate(invalid="ignore"):
+        return np.flatnonzero((score >= low[:, None]).any(axis=1))
+
+
+def _best(block, limit: int, least: float | None):
+    """Scores a partition's points against a block of queries (a broadcast of
+    their names and vectors) in matrix products and keeps `limit` a query."""
 
     def run(batches):
+        names, queries = block.value
+        size = np.linalg.norm(queries, axis=1)
         held = [np.zeros((0, 2), np.int64) for _ in names]
         for b in batches:
             lists = b.column("vector")
             ids = np.asarray(b.column("id"))
             n = np.diff(np.asarray(lists.offsets))
-            good = (n == queries.shape[1]) & ~np.asarray(lists.is_null())
-            if not good.any():
-                continue
-            points = np.stack([np.asarray(lists[int(k)].values, dtype=np.float64) for k in np.flatnonzero(good)])
-            ids, own = ids[good], np.linalg.norm(points, axis=1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                cosine = (queries @ points.T) / (size[:, None] * own[None])
-            score = np.floor(cosine * 1e6 + 0.5)
-            for q in range(len(names)):
-                held[q] = _keep(held[q], score[q], ids, limit, least)
-        many = np.array([len(h) for h in held])
-        rows = np.concatenate(held) if len(held) else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, many)), pa.array(rows[:, 1]), pa.array(rows[:, 0])], schema=schema)
+            good = np.flatnonzero((n == queries.shape[1]) & ~np.asarray(lists.is_null()))
+            for low in range(0, len(good), 2_048):
+                at = good[low : low + 2_048]
+                own = lists.take(pa.array(at))
+                points = np.asarray(own.flatten(), dtype=np.float64).reshape(len(at), -1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    cosine = (queries @ points.T) / (size[:, None] * np.linalg.norm(points, axis=1)[None])
+                score = np.floor(cosine * 1e6 + 0.5)
+                for q in _hopeful(score, held, limit, least):
+                    held[q] = _keep(held[q], score[q], ids[at], limit, least)
+        yield _rows(names, held)
 
     return run
 
 
+def _blocks(queries: DataFrame, column: str, most: int):
+    """Queries in blocks of some `most`, each as it comes to the driver."""
+    parts = max(1, -(-queries.count() // most))
+    for k in range(parts):
+        block = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == k)
+        if rows := block.select("query", column).where(F.col(column).isNotNull()).collect():
+            yield rows
+
+
 def dense(queries: DataFrame, points: DataFrame, limit: int = TOP, least: float | None = LEAST_DENSE) -> DataFrame:
     """query, id, score (millionths), rank: the nearest points (id, vector) of
     each query (query, vector) by cosine.
 
-    Points are read once for each block of queries and never shuffled; a task
-    sends on `limit` rows a query.  A vector of another size or without length
-    is passed over."""
-    many = queries.count()
-    parts = max(1, -(-many // QUERY_BLOCK))
-    found = None
-    for k in range(parts):
-        block = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == k)
-        rows = block.select("query", "vector").where("vector is not null").collect()
-        if rows:
-            vectors = np.array([r[1] for r in rows], np.float64)
-            part = points.select("id", "vector").mapInArrow(_best(vectors, np.array([r[0] for r in rows], np.int64), limit, least), "query long, id long, score long")
-            found = part if found is None else found.union(part)
+    Points are read once for each block of queries and never shuffled; a block is
+    broadcast, has at most `QUERY_BLOCK` queries and `QUERY_BYTES` bytes, and a task
+    sends on `limit` rows a query.  A vector of another size or without length is
+    passed over; a query of another size than the first is an error."""
+    spark, found = queries.sparkSession, None
+    first = queries.where("vector is not null").select(F.size("vector")).head()
+    for rows in _blocks(queries, "vector", max(1, min(QUERY_BLOCK, QUERY_BYTES // (8 * max(first[0], 1)))) if first else 1):
+        block = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)))
+        part = points.select("id", "vector").mapInArrow(_best(block, limit, least), _FOUND)
+        found = part if found is None else found.union(part)
     if found is None:
-        return queries.sparkSession.createDataFrame([], "query long, id long, score long, rank int")
+        return spark.createDataFrame([], f"{_FOUND}, rank int")
     return ranked(found, [F.desc("score"), F.col("id")], limit)
 
 
@@ -133,49 +159,55 @@ def term_stats(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def _stats(terms: dict[str, int]):
-    """A partition's documents, their length, and in how many a term is."""
+def _postings(block):
+    """Of each document its length and its terms among those of a block of queries
+    (a broadcast), with their counts."""
+    schema = pa.schema([("id", pa.int64()), ("size", pa.int64()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
 
     def run(batches):
-        df, n, total = np.zeros(len(terms), np.int64), 0, 0
+        terms = block.value[1]
         for b in batches:
-            for text in b.column("text").to_pylist():
+            ids, texts = b.column("id"), b.column("text").to_pylist()
+            sizes, at, many, ends = [], [], [], [0]
+            for text in texts:
                 words = split_words(text)
-                n, total = n + 1, total + len(words)
-                for w in set(words):
-                    if w in terms:
-                        df[terms[w]] += 1
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1, -2], pa.int32()), pa.array([*df[at].tolist(), n, total], pa.int64())], names=["term", "n"])
+                found = [(terms[w], c) for w, c in Counter(words).items() if w in terms]
+                sizes.append(len(words))
+                at += [t for t, _ in found]
+                many += [c for _, c in found]
+                ends.append(len(at))
+            ends = pa.array(ends, pa.int32())
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sizes, pa.int64()), *(pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (at, many))], schema=schema)
 
     return run
 
 
-def _scored(terms: dict[str, int], wanted: np.ndarray, idf: np.ndarray, mean: float, names: np.ndarray, limit: int):
-    """Scores a partition's documents against a block of queries: the weights of
-    the documents' terms times the queries' terms, and the best of each."""
-    schema = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
+def _scored(block, idf: np.ndarray, mean: float, limit: int):
+    """Scores a partition's postings against a block of queries: the weights of
+    some documents' terms times the queries' terms, and the best of each."""
 
     def run(batches):
+        names, terms, (ptr, which) = block.value
+        wanted = np.zeros((len(names), len(terms)), np.float32)
+        wanted[np.repeat(np.arange(len(names)), np.diff(ptr)), which] = 1
         held = [np.zeros((0, 2), np.int64) for _ in names]
         for b in batches:
-            texts, ids = b.column("text").to_pylist(), np.asarray(b.column("id"))
-            for low in range(0, len(texts), 512):
-                part = texts[low : low + 512]
-                weight = np.zeros((len(part), len(terms)))
-                for k, text in enumerate(part):
-                    words = split_words(text)
-                    found = [(terms[w], c) for w, c in Counter(words).items() if w in terms]
-                    if found:
-                        at, tf = np.array(found, np.int64).T
-                        weight[k, at] = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean))
-                score = np.floor(wanted @ weight.T * 1e6 + 0.5)
-                score[wanted @ (weight > 0).T.astype(float) == 0] = np.nan
-                for q in range(len(names)):
+            ids, sizes = np.asarray(b.column("id")), np.asarray(b.column("size"))
+            for low in range(0, len(ids), 512):
+                part = b.slice(low, 512)
+                lists = part.column("terms")
+                row = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+                at, tf = np.asarray(lists.flatten()), np.asarray(part.column("counts").flatten())
+                # only terms that some of these documents have take part
+                used, place = np.unique(at, return_inverse=True)
+                weight = np.zeros((len(lists), len(used)))
+                weight[row, place] = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[low : low + 512][row] / mean))
+                own = wanted[:, used].astype(np.float64)
+                score = np.floor(own @ weight.T * 1e6 + 0.5)
+                score[own @ (weight > 0).T.astype(float) == 0] = np.nan
+                for q in _hopeful(score, held, limit, None):
                     held[q] = _keep(held[q], score[q], ids[low : low + 512], limit, None)
-        many = np.array([len(h) for h in held])
-        rows = np.concatenate(held) if len(held) else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, many)), pa.array(rows[:, 1]), pa.array(rows[:, 0])], schema=schema)
+        yield _rows(names, held)
 
     return run
 
@@ -184,38 +216,69 @@ def bm25(queries: DataFrame, docs: DataFrame, limit: int = TOP) -> DataFrame:
     """query, id, score (millionths), rank of the best documents (id, text) for
     each query (query, text) that share a term with it.
 
-    Documents are read twice, for the queries' terms' frequencies and to score
-    them, and never shuffled: a task sends on counts of the terms, then `limit`
-    rows a query.  Queries go in blocks, so what a task holds is bounded."""
-    parts = max(1, -(-queries.count() // QUERY_BLOCK))
-    found = None
-    for k in range(parts):
-        block = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == k)
-        asked = [(r[0], sorted(set(split_words(r[1])))) for r in block.select("query", "text").collect()]
+    For each block of queries texts are read once, into postings of the queries'
+    terms; these are kept on disk, counted, and scored, and never shuffled: a task
+    sends on counts of terms, then `limit` rows a query.  A block is broadcast and
+    has at most `QUERY_BLOCK` queries and `QUERY_CELLS` (query, term) cells."""
+    spark, found = queries.sparkSession, None
+    mean_terms = queries.agg(F.avg(F.size(F.array_distinct(tokens(F.col("text")))))).head()[0] or 1.0
+    for rows in _blocks(queries, "text", max(1, min(QUERY_BLOCK, int((QUERY_CELLS / mean_terms) ** 0.5)))):
+        asked = [(r[0], set(split_words(r[1]))) for r in rows]
         terms = {w: i for i, w in enumerate(sorted({w for _, words in asked for w in words}))}
         if not terms:
             continue
+        ptr = np.cumsum([0, *(len(words) for _, words in asked)])
+        block = spark.sparkContext.broadcast((np.array([q for q, _ in asked], np.int64), terms, (ptr, np.array([terms[w] for _, words in asked for w in words], np.int32))))
+        held = docs.select("id", "text").mapInArrow(_postings(block), "id long, size long, terms array<int>, counts array<int>").persist(StorageLevel.DISK_ONLY)
+        n, total = held.agg(F.count("*"), F.sum("size")).head()
         df = np.zeros(len(terms))
-        n = total = 0
-        for term, count in docs.select("text").mapInArrow(_stats(terms), "term int, n long").groupBy("term").agg(F.sum("n")).collect():
-            if term >= 0:
-                df[term] = count
-            elif term == -1:
-                n = count
-            else:
-                total = count
+        for term, count in held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*")).collect():
+            df[term] = count
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        wanted = np.zeros((len(asked), len(terms)))
-        for q, (_, words) in enumerate(asked):
-            wanted[q, [terms[w] for w in words]] = 1
-        names = np.array([q for q, _ in asked], np.int64)
-        part = docs.select("id", "text").mapInArrow(_scored(terms, wanted, idf, total / n if total else 1.0, names, limit), "query long, id long, score long")
+        part = held.mapInArrow(_scored(block, idf, total / n if total else 1.0, limit), _FOUND)
         found = part if found is None else found.union(part)
     if found is None:
-        return queries.sparkSession.createDataFrame([], "query long, id long, score long, rank int")
+        return spark.createDataFrame([], f"{_FOUND}, rank int")
     return ranked(found, [F.desc("score"), F.col("id")], limit)
 
 
+def containing(questions: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of `questions` (query, text) whose lower-case text is in that of some
+    document (id, text).  Texts are read once for each block of questions, which an
+    automaton looks for at once; a task sends on each question once."""
+    spark, found = questions.sparkSession, None
+    lower = questions.select("query", F.lower("text").alias("text"))
+    size = lower.agg(F.avg(F.length("text"))).head()[0] or 1.0
+
+    def search(block):
+        def run(batches):
+            names, texts = block.value
+            at, met = {}, set()
+            for q, t in zip(names, texts, strict=True):
+                at.setdefault(t, []).append(q)
+            blank = at.pop("", [])
+            automaton = ahocorasick.Automaton()
+            for t in at:
+                automaton.add_word(t, t)
+            automaton.make_automaton()
+            for b in batches:
+                for text in b.column("text").to_pylist():
+                    if text is not None:
+                        met.update(blank)
+                        if at:
+                            for _, t in automaton.iter(text):
+                                met.update(at[t])
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(met), pa.int64())], names=["query"])
+
+        return run
+
+    for rows in _blocks(lower, "text", max(1, int(QUERY_BYTES / 4 // size))):
+        block = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+        part = docs.select(F.lower("text").alias("text")).mapInArrow(search(block), "query long")
+        found = part if found is None else found.union(part)
+    return spark.createDataFrame([], "query long") if found is None else found.distinct()
+
+
 def fuse(one: DataFrame, two: DataFrame) -> DataFrame:
     """Reciprocal rank fusion of a dense and a sparse ranking; 999 stands for the
     rank on the side that a point isn't on."""

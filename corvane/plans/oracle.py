@@ -188,7 +188,7 @@ s AS (SELECT query, id, CAST(floor(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 30)"""
 FUSED = f"""(SELECT query, id, coalesce(d.rank, 999) AS dense_rank, coalesce(s.rank, 999) AS sparse_rank, coalesce(1.0::DOUBLE / (60 + d.rank), 0) + coalesce(1.0::DOUBLE / (60 + s.rank), 0) AS raw FROM {_dense()} d FULL OUTER JOIN {BM25} s USING (query, id))"""
 RRF = f"(SELECT query, id, dense_rank, sparse_rank, CAST(floor(raw * 1e6 + 0.5) AS BIGINT) AS score, row_number() OVER (PARTITION BY query ORDER BY raw DESC, dense_rank, sparse_rank, id) AS rank FROM {FUSED})"
-_RANKED = X.values(X.RANKED)
+_RANKED = f"(SELECT * FROM {X.values(X.RANKED)} UNION ALL SELECT b.query + 1000, b.id, CAST(b.rank AS INTEGER), b.score / 1e8::DOUBLE, d.source, 'p' || (b.id % 5), d.text, NULL FROM {BM25} b JOIN documents d ON d.doc_id = b.id)"
 _KEY = "coalesce(nullif(url, ''), nullif(parent_id, ''), CAST(id AS VARCHAR))"
 DIVERSE = f"(SELECT * EXCLUDE (own, rank, r), r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank, id) AS r FROM (SELECT *, row_number() OVER (PARTITION BY query, {_KEY} ORDER BY rank, id) AS own FROM {_RANKED}) WHERE own <= 2) WHERE r <= 12)"
 SELECTED = f"""(SELECT * EXCLUDE (enough, best, rank, r), r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC NULLS LAST, rank, id) AS r FROM (SELECT *, max(CAST(score >= 0.10 AS INT)) OVER (PARTITION BY query) = 1 AS enough FROM
@@ -216,7 +216,7 @@ def oracle_sql() -> dict[str, str]:
         "url_parts": f"SELECT id, {SCHEME} AS scheme, {HOST} AS host, {PATH} AS path, CASE WHEN regexp_matches(url, {ABS}) THEN {SCHEME} || '://' || {HOST_RAW} END AS origin FROM {URLS} t",
         "url_crawlable": f"SELECT id, {CRAWLABLE} AS crawlable FROM {URLS} t",
         "url_same_domain": f"SELECT id, coalesce(regexp_matches(url, {ABS}) AND {bare('url')} = {bare(_SITE)}, false) AS same FROM {URLS} t",
-        "crawl_queue": f"SELECT url, row_number() OVER (ORDER BY first, url) AS place FROM (SELECT url, min(id) AS first FROM {URLS} t GROUP BY url HAVING {CRAWLABLE} ORDER BY 2, 1 LIMIT 500)",
+        "crawl_queue": f"SELECT url, row_number() OVER (ORDER BY first, url) AS place FROM (SELECT url, min(CAST(substr(id, 2) AS BIGINT) + CASE WHEN id[1] = 'u' THEN 1099511627776 ELSE 0 END) AS first FROM {URLS} t GROUP BY url HAVING {CRAWLABLE} ORDER BY 2, 1 LIMIT 500)",
         "page_type": f"SELECT id, {_page_type} AS page_type FROM (SELECT id, coalesce(url, '') AS u0 FROM {URLS} t)",
         "quality_gate": f"SELECT id, {_gate('url', 'title', 'text', 'n')} AS skip_reason FROM (SELECT *, {word_count('coalesce(text, chr(32))')} AS n FROM (SELECT 'd' || doc_id AS id, source AS url, '' AS title, text FROM documents UNION ALL SELECT * FROM {X.values(X.GATE)}))",
         "is_html": f"SELECT 'p' || page_id AS id, {has('html', P.HTML_TAG)} AS is_html FROM pages UNION ALL {texts(f'coalesce({has('text', P.HTML_TAG)}, false) AS is_html')}",
@@ -258,13 +258,13 @@ def oracle_sql() -> dict[str, str]:
         "rrf_fuse": f"SELECT * FROM {RRF}",
         "compare_interleave": f"SELECT query, id, entity, row_number() OVER (PARTITION BY query ORDER BY rank, entity, id) AS rank FROM (SELECT query, id, rank, entity, row_number() OVER (PARTITION BY query, id ORDER BY rank, entity) AS f FROM (SELECT query // 2 AS query, query % 2 AS entity, rank, id FROM {_dense()})) WHERE f = 1",
         "diversity_cap": f"SELECT query, id, rank FROM {DIVERSE}",
-        "calibrate_scores": f"SELECT provider, score, CAST(floor(CASE provider WHEN 'jina' THEN {_sig('score')} WHEN 'bge' THEN {_sig(f'(ln({_safe} / (1 - {_safe})) + 4.5) / 1.5')} ELSE score END * 1e4 + 0.5) AS BIGINT) AS calibrated FROM {X.values(X.SCORES)}",
+        "calibrate_scores": f"SELECT provider, score, CAST(floor(CASE provider WHEN 'jina' THEN {_sig('score')} WHEN 'bge' THEN {_sig(f'(ln({_safe} / (1 - {_safe})) + 4.5) / 1.5')} ELSE score END * 1e4 + 0.5) AS BIGINT) AS calibrated FROM (SELECT * FROM {X.values(X.SCORES)} UNION ALL SELECT ['jina', 'bge', 'cohere'][id % 3 + 1], score / 1e8::DOUBLE FROM {BM25})",
         "rerank_none": f"SELECT query, id, rank, CAST(floor(greatest(0.85::DOUBLE - (rank - 1) * 0.02::DOUBLE, 0.70::DOUBLE) * 1e4 + 0.5) AS BIGINT) AS score FROM {DIVERSE}",
         "rerank_select": f"SELECT query, id, rank, CAST(floor(score * 1e4 + 0.5) AS BIGINT) AS score FROM {SELECTED}",
-        "abstention": f"SELECT query, CAST(floor(coalesce(top, 0) * 1e4 + 0.5) AS BIGINT) AS top, top IS NULL OR top < CASE WHEN {has('text', P.CATALOG_QUERY)} THEN 0.10 ELSE 0.05 END AS abstained FROM {X.values(X.RANKED_QUERIES)} LEFT JOIN (SELECT query, max(score) AS top FROM {SELECTED} GROUP BY query) USING (query)",
+        "abstention": f"SELECT query, CAST(floor(coalesce(top, 0) * 1e4 + 0.5) AS BIGINT) AS top, top IS NULL OR top < CASE WHEN {has('text', P.CATALOG_QUERY)} THEN 0.10 ELSE 0.05 END AS abstained FROM (SELECT * FROM {X.values(X.RANKED_QUERIES)} UNION ALL SELECT item_id + 1000, text FROM benchmark) LEFT JOIN (SELECT query, max(score) AS top FROM {SELECTED} GROUP BY query) USING (query)",
         "parent_resolve": f"SELECT query, id, rank, text FROM {PARENTS}",
-        "context_text": f"SELECT query, string_agg('RESULT ' || place || ':' || chr(10) || 'Title: Page' || chr(10) || coalesce('URL: ' || url || chr(10), '') || 'Type: general_page' || chr(10) || 'Emails: a@b.co' || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place) AS context FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank) AS place FROM {PARENTS}) GROUP BY query",
-        "usage_tokens": f"SELECT id, coalesce(prompt_tokens, input_tokens) AS input_tokens, coalesce(completion_tokens, output_tokens) AS output_tokens, coalesce(cached_tokens, other_cache, cache_tokens) AS cache_tokens FROM {X.values(X.USAGE)}",
+        "context_text": f"SELECT query, CASE WHEN length(said) > 8000 THEN substr(said, 1, 8000) || chr(10) || '...[truncated]' ELSE said END AS context FROM (SELECT query, string_agg('RESULT ' || place || ':' || chr(10) || 'Title: Page' || chr(10) || coalesce('URL: ' || url || chr(10), '') || 'Type: general_page' || chr(10) || 'Emails: a@b.co' || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place) AS said FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank) AS place FROM {PARENTS}) GROUP BY query)",
+        "usage_tokens": f"SELECT id, coalesce(prompt_tokens, input_tokens) AS input_tokens, coalesce(completion_tokens, output_tokens) AS output_tokens, coalesce(cached_tokens, other_cache, cache_tokens) AS cache_tokens FROM (SELECT * FROM {X.values(X.USAGE)} UNION ALL SELECT 'e' || event_id, input_tokens, output_tokens, cache_tokens, CASE WHEN event_id % 3 = 0 THEN input_tokens + 5 END, CASE WHEN event_id % 4 = 0 THEN output_tokens + 1 END, CASE WHEN event_id % 5 = 0 THEN cache_tokens + 2 END, CASE WHEN event_id % 7 = 0 THEN 3 END, bot, model FROM {USED})",
         "usage_cost": f"SELECT event_id, bot, model, input_tokens, output_tokens, cache_tokens, input_cost, output_cost, cache_cost, total_cost FROM {COSTED}",
         "usage_totals": f"SELECT bot, count(*) AS calls, {_SUMS} FROM {COSTED} GROUP BY bot",
         "feedback_latest": f"SELECT event_id AS log_id, event_type, thumbs AS feedback FROM events LEFT JOIN (SELECT log_id, thumbs FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY ts DESC, seq DESC) AS n FROM {X.values(X.VOTES)} WHERE thumbs IN ('up', 'down')) WHERE n = 1) ON event_id = log_id",

@@ -68,7 +68,12 @@ def oracle_sql() -> dict[str, str]:
     h = "sha256(f.url || '::' || c.parent || '_' || c.no || '::' || sha256(c.chunk))"
     point = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-' || CASE (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 WHEN 0 THEN '8' WHEN 1 THEN '9' WHEN 2 THEN 'a' ELSE 'b' END || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
     chunked = T.children("(SELECT page_id AS id, text FROM pages_done WHERE status = 'completed')").removeprefix("WITH RECURSIVE ")
+    n, price = "chr(10)", "CASE WHEN p_retailprice = floor(p_retailprice) THEN CAST(CAST(p_retailprice AS BIGINT) AS VARCHAR) ELSE CAST(p_retailprice AS VARCHAR) END"
+    product = f"'Product: ' || p_name || {n} || 'SKU: ' || p_partkey || {n} || 'Brand: ' || p_brand || {n} || 'Price: USD ' || {price} || {n} || 'Availability: InStock' || {n} || 'Rating: ' || (p_partkey % 5 + 1) || ' (' || (p_partkey + 1) || ' reviews)' || {n} || 'Size: ' || p_size"
+    service = f"'Service: ' || p_name || {n} || 'Description: ' || p_type || {n} || 'Price: USD ' || {price} || {n} || 'Area Served: ' || p_brand"
+    shop = f"'Business Name: ' || p_name || {n} || 'Phone: ' || p_partkey || {n} || 'Address: ' || p_brand || ', ' || p_size"
     return {
+        "jsonld_lines": f"SELECT 'https://e.com/part/' || p_partkey AS url, CASE p_partkey % 3 WHEN 0 THEN {product} WHEN 1 THEN {service} ELSE {shop} END AS ld_text, CASE p_partkey % 3 WHEN 0 THEN 'product' WHEN 1 THEN 'service' ELSE 'localbusiness' END AS types, CAST(NULL AS VARCHAR) AS error FROM part",
         "html_markdown": f"WITH {PAGES}\nSELECT url, markdown, CAST(NULL AS VARCHAR) AS error FROM pages_read",
         "ingest_status": f"WITH {PAGES}\nSELECT status, page_type, count(*) AS pages, CAST(sum(words) AS BIGINT) AS words FROM pages_done GROUP BY status, page_type",
         "business_name": f"WITH {PAGES}\nSELECT CASE WHEN status = 'completed' THEN nullif(trim(regexp_extract(title, '^([^-|–]*)', 1)), '') END AS business_name FROM pages_done ORDER BY page_id LIMIT 1",

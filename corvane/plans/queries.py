@@ -52,6 +52,10 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with(spark, sf_dir, "benchmark", "b", "item_id", {"query": "text"}, D.QUERIES)
 
 
+def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asked(spark, sf_dir).select("id", Q.parsed(F.col("query")).alias("p"))
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.turns(table(spark, sf_dir, "conversations")).where("role = 'user'")
     rows = rows.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")).alias("id"), "text", "last_user", "has_history")
@@ -73,7 +77,9 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crawl_queue(spark, sf_dir):
-    return S.queue(urls(spark, sf_dir), "id")
+    """Pages in the order of their numbers, then the hand-made addresses."""
+    later = F.substring("id", 2, 9).cast("long") + F.when(F.col("id").startswith("u"), 1 << 40).otherwise(0)
+    return S.queue(urls(spark, sf_dir).withColumn("no", later), "no")
 
 
 def quality_gate(spark, sf_dir):
@@ -115,8 +121,24 @@ def page_links(spark, sf_dir):
     return _tree(spark, sf_dir).select("url", F.posexplode("links").alias("place", "link"))
 
 
+def _offered(spark, sf_dir):
+    """A page for each part, with structured data of one of three kinds."""
+    name, key, price = F.col("p_name"), F.col("p_partkey"), F.col("p_retailprice")
+    offer = F.struct(price.alias("price"), F.lit("USD").alias("priceCurrency"), F.lit("http://schema.org/InStock").alias("availability"))
+    said = lambda kind, **fields: F.to_json(F.struct(F.lit(kind).alias("@type"), *(v.alias(k) for k, v in fields.items())))
+    size = F.struct(F.lit("Size").alias("name"), F.col("p_size").alias("value"))
+    product = said("Product", name=name, sku=key.cast("string"), brand=F.struct(F.col("p_brand").alias("name")), offers=F.array(offer), aggregateRating=F.struct((key % 5 + 1).alias("ratingValue"), (key + 1).alias("reviewCount")), additionalProperty=F.array(size))
+    service = said("Service", name=name, description=F.col("p_type"), offers=offer, areaServed=F.col("p_brand"))
+    shop = said("LocalBusiness", name=name, telephone=key.cast("string"), address=F.struct(F.col("p_brand").alias("streetAddress"), F.col("p_size").cast("string").alias("postalCode")))
+    data = F.when(key % 3 == 0, product).when(key % 3 == 1, service).otherwise(shop)
+    page = F.concat(F.lit('<html><head><script type="application/ld+json">'), data, F.lit("</script></head><body><p>x</p></body></html>"))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("https://e.com/part/"), key.cast("string")).alias("url"), page.alias("html"))
+
+
 def jsonld_lines(spark, sf_dir):
-    return _tree(spark, sf_dir).where("ld_text <> '' or error is not null").select("url", "ld_text", bars(F.col("ld_types")).alias("types"), "error")
+    """Of all pages, and of a page for each part."""
+    rows = html.with_tree(read(spark, sf_dir).select("url", "html").union(_offered(spark, sf_dir))).select("url", "tree.*")
+    return rows.where("ld_text <> '' or error is not null").select("url", "ld_text", bars(F.col("ld_types")).alias("types"), "error")
 
 
 def ingest_status(spark, sf_dir):
@@ -263,42 +285,51 @@ def compare_interleave(spark, sf_dir):
     return retrieval.interleave(lists)
 
 
-def _ranked(spark):
-    return D.frame(spark, D.RANKED).withColumn("contextual_text", F.lit(None).cast("string"))
+def _ranked(spark, sf_dir):
+    """Hand-made rankings, and those of the benchmark's passages over documents,
+    whose queries are numbered from 1,000 on."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("url"), "text")
+    rows = bm25_topk(spark, sf_dir).join(docs, "id")
+    rows = rows.select(F.col("query") + 1_000, "id", "rank", F.col("score") / 1e8, "url", F.concat(F.lit("p"), (F.col("id") % 5).cast("string")), "text", F.lit(None).cast("string"))
+    return D.frame(spark, D.RANKED).union(rows).withColumn("contextual_text", F.lit(None).cast("string"))
 
 
 def diversity_cap(spark, sf_dir):
-    return retrieval.diverse(_ranked(spark)).select("query", "id", "rank")
+    return retrieval.diverse(_ranked(spark, sf_dir)).select("query", "id", "rank")
 
 
 def calibrate_scores(spark, sf_dir):
-    rows, score = D.frame(spark, D.SCORES), F.col("score")
+    """Hand-made scores, and those of the benchmark's passages, of one provider
+    after the other."""
+    found = bm25_topk(spark, sf_dir).select(F.element_at(F.array(*map(F.lit, ("jina", "bge", "cohere"))), (F.col("id") % 3 + 1).cast("int")), F.col("score") / 1e8)
+    rows, score = D.frame(spark, D.SCORES).union(found), F.col("score")
     value = F.when(F.col("provider") == "jina", retrieval.calibrated("jina", score)).when(F.col("provider") == "bge", retrieval.calibrated("bge", score)).otherwise(score)
     return rows.select("provider", "score", retrieval.four(value).alias("calibrated"))
 
 
 def rerank_none(spark, sf_dir):
-    return retrieval.diverse(_ranked(spark)).select("query", "id", "rank", retrieval.four(retrieval.ladder(F.col("rank"), 0.70)).alias("score"))
+    return retrieval.diverse(_ranked(spark, sf_dir)).select("query", "id", "rank", retrieval.four(retrieval.ladder(F.col("rank"), 0.70)).alias("score"))
 
 
-def _selected(spark):
-    return retrieval.select(retrieval.diverse(_ranked(spark)))
+def _selected(spark, sf_dir):
+    return retrieval.select(retrieval.diverse(_ranked(spark, sf_dir)))
 
 
 def rerank_select(spark, sf_dir):
-    return _selected(spark).select("query", "id", "rank", retrieval.four(F.col("score")).alias("score"))
+    return _selected(spark, sf_dir).select("query", "id", "rank", retrieval.four(F.col("score")).alias("score"))
 
 
 def abstention(spark, sf_dir):
-    return retrieval.gate(D.frame(spark, D.RANKED_QUERIES), _selected(spark)).select("query", retrieval.four(F.col("top")).alias("top"), "abstained")
+    questions = D.frame(spark, D.RANKED_QUERIES).union(_benchmark(spark, sf_dir).select(F.col("query") + 1_000, "text"))
+    return retrieval.gate(questions, _selected(spark, sf_dir)).select("query", retrieval.four(F.col("top")).alias("top"), "abstained")
 
 
 def parent_resolve(spark, sf_dir):
-    return retrieval.parents(_selected(spark)).select("query", "id", "rank", "text")
+    return retrieval.parents(_selected(spark, sf_dir)).select("query", "id", "rank", "text")
 
 
 def context_text(spark, sf_dir):
-    rows = retrieval.parents(_selected(spark)).withColumns({"title": F.lit(""), "page_type": F.lit("general_page"), "emails": F.array(F.lit("a@b.co")), "phones": F.array().cast("array<string>")})
+    rows = retrieval.parents(_selected(spark, sf_dir)).withColumns({"title": F.lit(""), "page_type": F.lit("general_page"), "emails": F.array(F.lit("a@b.co")), "phones": F.array().cast("array<string>")})
     return retrieval.context(rows)
 
 
@@ -307,31 +338,12 @@ def eval_recall(spark, sf_dir):
     questions, docs = _benchmark(spark, sf_dir), _documents(spark, sf_dir)
     found = retrieval.bm25(questions, docs)
     # a passage that is in a document ranks among those that share its words
-    inside = _containment(questions, docs)
+    inside = retrieval.containing(questions, docs)
     golden = questions.join(inside.withColumn("inside", F.lit(True)), "query", "left").select("query", F.array("text").alias("keywords"), F.col("inside").isNull().alias("should_abstain"))
     gated = questions.select("query").join(found.groupBy("query").agg(F.max("score").alias("top")), "query", "left").select("query", (F.coalesce("top", F.lit(0)) < LEAST_BM25).alias("abstained"))
     return retrieval.evaluate(golden, found.join(docs, "id").select("query", "rank", "text"), gated)
 
 
-def _containment(questions: DataFrame, docs: DataFrame) -> DataFrame:
-    """Questions whose text is in some document.  Each question is looked for
-    where its rarest whole term is (its first and last may be cut in a document),
-    and the text decides; one without such a term is looked for everywhere."""
-    words = retrieval.tokens(F.col("text"))
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    each = questions.select("query", F.explode_outer(F.array_distinct(inner)).alias("term"))
-    held = docs.select("id", F.explode(F.array_distinct(words)).alias("term")).join(each.select("term").distinct(), "term", "left_semi")
-    df = held.groupBy("term").agg(F.count("*").alias("df"))
-    rarest = each.join(df, "term", "left").groupBy("query").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
-    places = rarest.join(held, "term").select("query", "id")
-    short = questions.join(rarest.where("term is null"), "query").select("query", F.lower("text").alias("q"))
-    pairs = places.join(questions.select("query", F.lower("text").alias("q")), "query").join(docs.select("id", F.lower("text").alias("t")), "id")
-    found = pairs.where(F.contains("t", "q")).select("query")
-    if not short.isEmpty():
-        found = found.union(docs.select(F.lower("text").alias("t")).join(short, F.contains("t", "q")).select("query"))
-    return found.distinct()
-
-
 def search(spark, sf_dir):
     """The whole search: dense and sparse, fused, diverse, scored by rank, gated,
     with one passage a source."""
@@ -357,6 +369,11 @@ def usage_tokens(spark, sf_dir):
     details = F.struct(F.col("cached_tokens"))
     said = F.struct("prompt_tokens", "completion_tokens", details.alias("prompt_tokens_details"), F.col("other_cache").alias("cache_tokens"))
     rows = D.frame(spark, D.USAGE)
+    every = lambda n, c: F.when(F.col("event_id") % n == 0, c)
+    given = _usage(spark, sf_dir).select(
+        F.concat(F.lit("e"), F.col("event_id").cast("string")), "input_tokens", "output_tokens", "cache_tokens", every(3, F.col("input_tokens") + 5), every(4, F.col("output_tokens") + 1), every(5, F.col("cache_tokens") + 2), every(7, F.lit(3).cast("long")), "bot", "model"
+    )
+    rows = rows.union(given)
     return rows.select("id", accounts.tokens(F.struct("input_tokens", "output_tokens", "cache_tokens"), said).alias("t")).select("id", "t.*")
 
 
@@ -404,8 +421,8 @@ def queries() -> dict[str, Query]:
         "ecom_sizes": _each(texts, lambda: dict(sizes=bars(X.page_sizes(text())))),
         "ecom_stock": _each(texts, lambda: dict(in_stock=X.page_stock(text()))),
         "query_price": _each(asked, lambda: dict(least_cents=cents(Q.prices(query())["least"]), most_cents=cents(Q.prices(query())["most"]))),
-        "query_facets": _each(asked, lambda: dict(colors=bars(Q.parsed(query())["colors"]), sizes=bars(Q.parsed(query())["sizes"]), in_stock=Q.parsed(query())["in_stock"], comparison=Q.parsed(query())["comparison"], confidence=Q.parsed(query())["confidence"])),
-        "query_parse": _each(asked, lambda: dict(ask_model=Q.parsed(query())["ask_model"], cleaned=Q.parsed(query())["cleaned"])),
+        "query_facets": lambda s, d: parsed(s, d).select("id", bars(F.col("p.colors")).alias("colors"), bars(F.col("p.sizes")).alias("sizes"), "p.in_stock", "p.comparison", "p.confidence"),
+        "query_parse": lambda s, d: parsed(s, d).select("id", "p.ask_model", "p.cleaned"),
         "query_compare": _each(asked, lambda: dict(compared=bars(Q.compared(query())))),
         "query_clean": _each(asked, lambda: dict(cleaned=Q.cleaned(query()))),
         "intent": _each(labelled, lambda: dict(intent=label(), branch=Q.branch(label()))),

@@ -51,7 +51,8 @@ def discover(fetched: DataFrame, site: str, robots: list[str] = ()) -> str | Non
 
 
 def queue(pages: DataFrame, order: str, limit: int = MOST_PAGES) -> DataFrame:
-    """The first crawlable addresses, each once, with their place."""
+    """The first crawlable addresses by a number that tells when they were found,
+    each once, with their place."""
     first = pages.groupBy("url").agg(F.min(order).alias("first")).where(U.is_crawlable(F.col("url"))).orderBy("first", "url").limit(limit)
     return first.select("url", F.row_number().over(Window.orderBy("first", "url")).alias("place"))
 
