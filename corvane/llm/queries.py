@@ -84,7 +84,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate secrets of all documents and the forest's verdicts."""
-    return secrets.scan(_documents(spark, sf_dir))
+    return secrets.scan(_documents(spark, sf_dir), words=_tokenizer(BYTE_BPE)[0])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
