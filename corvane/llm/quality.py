@@ -9,9 +9,8 @@ the driver doesn't grow with the corpus.
 
 A null or empty text has no word and no line, measures 0 everywhere and fails
 the length rule; equal texts vote alike; an empty table has no row and the model
-keeps its starting values; other columns pass through `measure` untouched (a
-measure's name that clashes with one of them is an error that Spark reports, so
-`measure` is called on the columns wanted).
+keeps its starting values; other columns pass through `measure` untouched, but one
+that has a measure's name gets underscores behind it until nothing else has it.
 """
 
 from __future__ import annotations
@@ -96,9 +95,20 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarra
     return m, votes
 
 
+#: names that `measure` and `judge` give
+_OWN = frozenset([*MEASURES, "votes", "posterior", "base_failed", "kept"])
+
+
 def measure(docs: DataFrame) -> DataFrame:
     """`docs` with the measures and a column votes: the pattern as a number in
     base 3, first rule last."""
+    for name in docs.columns:
+        if name.lower() in _OWN:
+            taken = {c.lower() for c in docs.columns} | _OWN
+            free = name
+            while free.lower() in taken:
+                free += "_"
+            docs = docs.withColumnRenamed(name, free)
     kept = docs.schema
     out = T.StructType([*kept.fields, *(T.StructField(c, T.LongType()) for c in MEASURES), T.StructField("votes", T.IntegerType())])
 
