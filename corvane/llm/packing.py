@@ -18,12 +18,14 @@ length), so no length is gathered in one task, however many pieces share it.
 
 A null text is an empty one, which is a piece of one id, the end; equal rows are
 packed one by one; an empty table gives no row; columns other than doc_id and
-text are ignored.  A text longer than the capacity is cut from its end, so only
-its first piece may be shorter.
+text are ignored.  A text is cut only where it is longer than what one sequence can
+take by tokens and by attention, from its end, so only its first piece may be
+shorter.  A capacity below 1 and an unknown score are errors before any work.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 from corvane.llm import store
 from corvane.llm.encode import batch_of, encoded
 
+SCORES = ("norm", "dot")
 _PIECES = "task int, doc_id long, piece int, start long, length int, ids_crc32 long, rank long"
 
 
@@ -175,7 +178,12 @@ def place(pieces: DataFrame, capacity: int, documents: int, attention: int, weig
 def pack(docs: DataFrame, tokenizer: str, pieces: str, end: int = 0, capacity: int = 2048, documents: int | None = None, attention: int | None = None, **how) -> DataFrame:
     """Packs all documents; a row for each piece.  documents and attention
     default to what never binds before the tokens do."""
+    documents, attention = capacity if documents is None else documents, capacity * capacity if attention is None else attention
+    if min(capacity, documents, attention) < 1:
+        raise ValueError("a sequence must take a token, a document and an attention of 1")
+    if how.get("score", "norm") not in SCORES:
+        raise ValueError(f"the score must be one of {', '.join(SCORES)}")
     if docs.isEmpty():
         return docs.sparkSession.createDataFrame([], "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    made = store.keep(pieces_of(docs, tokenizer, pieces, end, capacity), "pieces")
-    return place(made, capacity, documents or capacity, attention or capacity * capacity, **how)
+    made = store.keep(pieces_of(docs, tokenizer, pieces, end, min(capacity, math.isqrt(attention))), "pieces")
+    return place(made, capacity, documents, attention, **how)
