@@ -21,7 +21,6 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from html import escape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -29,10 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm import store
 from corvane.llm import words as W
 from corvane.llm.encode import batch_of
 
 WIDTH = 64
+#: a digest is hot from this many items on, and from this share of all items on
+LEAST_HOT, SHARES = 256, 10_000
 _REF = re.compile(r"sha256:([0-9a-f]{64})\Z")
 _HEAD = re.compile(rb"P5\n# (\d+) bytes\n(\d+) (\d+)\n255\n")
 _ITEM = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("src", pa.string()), ("caption", pa.string())])
@@ -44,13 +46,16 @@ class _Reader(HTMLParser):
     MEDIA = ("img", "video", "audio", "source", "embed")
     HIDDEN = ("script", "style", "noscript", "template")
 
-    def __init__(self):
+    def __init__(self, shown: frozenset[str] = frozenset()):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.text: list[str] = []
         self.caption: list[str] | None = None
-        self.figure = -1
-        self.hidden = 0
+        #: where open figures begin, and the media that one within them explained
+        self.figures: list[int] = []
+        self.explained: set[int] = set()
+        #: tags in which text isn't shown, while they are open
+        self.shown, self.hidden = shown, []
 
     def flush(self):
         text = " ".join("".join(self.text).split())
@@ -59,11 +64,11 @@ class _Reader(HTMLParser):
             self.items.append({"kind": "text", "text": text, "digest": None, "src": None, "caption": None})
 
     def handle_starttag(self, tag, attrs):
-        if tag in self.HIDDEN:
-            self.hidden += 1
+        if tag in self.HIDDEN and tag not in self.shown:
+            self.hidden.append(tag)
         elif tag == "figure":
             self.flush()
-            self.figure = len(self.items)
+            self.figures.append(len(self.items))
         elif tag == "figcaption":
             self.caption = []
         elif tag in self.MEDIA and (src := dict(attrs).get("src")):
@@ -76,17 +81,20 @@ class _Reader(HTMLParser):
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        if tag in self.HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
+        if tag in self.hidden:
+            self.hidden.reverse()
+            self.hidden.remove(tag)
+            self.hidden.reverse()
         elif tag == "figcaption" and self.caption is not None:
             said = " ".join("".join(self.caption).split())
-            for item in self.items[self.figure :] if said and self.figure >= 0 else ():
-                if item["kind"] == "media":
-                    item["caption"] = said
+            for k in range(self.figures[-1], len(self.items)) if said and self.figures else ():
+                if self.items[k]["kind"] == "media" and k not in self.explained:
+                    self.items[k]["caption"] = said
             self.caption = None
         elif tag == "figure":
             self.flush()
-            self.figure = -1
+            if self.figures:
+                self.explained.update(range(self.figures.pop(), len(self.items)))
 
     def handle_data(self, data):
         if self.caption is not None:
@@ -96,10 +104,16 @@ class _Reader(HTMLParser):
 
 
 def parse(html: str | None) -> list[dict]:
-    """The items of a page in order."""
+    """The items of a page in order.  A caption is that of the innermost figure
+    around a medium which has one; text in a tag that hides it and never ends is
+    shown, as else the rest of the page would be lost."""
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
+    if shown := frozenset(reader.hidden) - {"script", "style"}:
+        reader = _Reader(shown)
+        reader.feed(html or "")
+        reader.close()
     reader.flush()
     return [{"position": k, **item} for k, item in enumerate(reader.items)]
 
@@ -196,10 +210,19 @@ def sequences(pages: DataFrame) -> DataFrame:
 
 def resolve(found: DataFrame, stored: DataFrame) -> DataFrame:
     """A row for each media item of `found` (sequences), with what is stored
-    under its digest."""
+    under its digest.
+
+    Digests that many items refer to, at most SHARES of all items each and so at
+    most SHARES of them, are counted first and joined by broadcast, so no task has
+    all items of one; the others are shuffled."""
     items = found.select("doc_id", F.explode("items").alias("item")).where("item.kind = 'media'")
-    refs = items.select("doc_id", "item.position", "item.caption", "item.src", F.col("item.digest").alias("digest"))
-    return refs.join(stored, "digest", "left")
+    refs = store.keep(items.select("doc_id", "item.position", "item.caption", "item.src", F.col("item.digest").alias("digest")), "media-items")
+    many = refs.where("digest is not null").groupBy("digest").count().where(F.col("count") > F.lit(max(LEAST_HOT, refs.count() // SHARES))).select("digest")
+    hot, stored = store.keep(many, "media-hot"), store.keep(stored, "media-features")
+    hot_rows = refs.join(F.broadcast(hot), "digest", "left_semi")
+    held = F.broadcast(stored.join(F.broadcast(hot), "digest", "left_semi"))
+    rest = refs.join(F.broadcast(hot), "digest", "left_anti")
+    return rest.join(stored, "digest", "left").unionByName(hot_rows.join(held, "digest", "left"))
 
 
 def illustrated(docs: DataFrame) -> DataFrame:
@@ -214,8 +237,7 @@ def illustrated(docs: DataFrame) -> DataFrame:
                 html = []
                 for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                     payload = data[a:b].tobytes()
-                    said = escape(" ".join(payload[:120].decode(errors="ignore").split()))
-                    html.append(f'<article><h1>Document</h1><figure><img src="sha256:{hashlib.sha256(image(payload)).hexdigest()}" alt="text"><figcaption>{said}</figcaption></figure><p>End.</p></article>')
+                    html.append(f'<article><h1>Document</h1><figure><img src="sha256:{hashlib.sha256(image(payload)).hexdigest()}" alt="text"><figcaption>A text of {len(payload)} bytes</figcaption></figure><p>End.</p></article>')
                 yield batch_of(schema, [rows.column("doc_id"), pa.array(html, pa.string())])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, html string")
