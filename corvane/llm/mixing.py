@@ -7,7 +7,8 @@ its size is taken floor(e) times whole and once in part.
 Documents fall into blocks of a source by a hash of doc_id; an affine permutation
 drawn for each source and epoch orders the blocks without a sort, and the part is a
 prefix of that order: whole blocks, then of one block the documents with the
-least hash that fit and up to eight others that fill what is then missing.  The blocks
+least hash that fit and others that fill what is then missing; if one of these is
+too long, shorter ones go for it.  The blocks
 taken of each source are its exact quota.  A binary tree over output shards
 splits the quotas: at each node the left half's share of every source is drawn
 from the multivariate hypergeometric distribution, seeded by the node, so any
@@ -38,7 +39,6 @@ from corvane.llm.encode import batch_of
 
 _CHUNK = 1024
 _NONE = -(1 << 63)
-_MORE = 8
 
 
 def targets(sizes: list[int], weights: list[float], total: float, most: float = 3.0) -> list[float]:
@@ -130,7 +130,8 @@ class Plan:
         self.cut = np.zeros(len(names), np.int64)  # blocks taken whole in the partial epoch
         self.edge = np.full(len(names), -1, np.int64)  # hash up to which the next block is taken
         self.edge_id = np.full(len(names), _NONE, np.int64)
-        self.more, self.more_id = np.full((len(names), _MORE), -1, np.int64), np.full((len(names), _MORE), _NONE, np.int64)  # and others
+        self.more: dict[int, set[tuple[int, int]]] = {}  # and others of it, by hash and id
+        self.less: dict[int, set[tuple[int, int]]] = {}  # but not these
         self.shard_blocks = shard_blocks
 
     def steps(self, epoch) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +140,7 @@ class Plan:
         return np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int64)
 
     def quotas(self) -> list[int]:
-        return (self.whole * self.blocks + self.cut + ((self.edge >= 0) | (self.more >= 0).any(1))).tolist()
+        return (self.whole * self.blocks + self.cut + ((self.edge >= 0) | np.isin(np.arange(len(self.cut)), list(self.more)))).tolist()
 
     def tree(self) -> Tree:
         quotas = self.quotas()
@@ -187,16 +188,21 @@ def plan(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float =
     edges = spark.createDataFrame([(k, *v) for k, v in edge.items()], "k int, place long, need double")
     near = placed.select("k", "place", "spot", "doc_id", "size").join(F.broadcast(edges), ["k", "place"]).groupBy("k", "place", "need", "spot", "doc_id").agg(F.sum("size").alias("size"))
     # a group is the documents of one block, repeated rows already added up
-    for k, at, spot, own, more, more_id in near.groupBy("k").applyInArrow(_edges, "k int, place long, spot long, id long, more array<long>, more_id array<long>").collect():
+    columns = "k int, place long, spot long, id long, more array<long>, more_id array<long>, less array<long>, less_id array<long>"
+    for k, at, spot, own, more, more_id, less, less_id in near.groupBy("k").applyInArrow(_edges, columns).collect():
         made.cut[k] = at
         made.edge[k], made.edge_id[k] = spot, own
-        made.more[k, : len(more)], made.more_id[k, : len(more)] = more, more_id
+        if more:
+            made.more[k] = set(zip(more, more_id, strict=True))
+        if less:
+            made.less[k] = set(zip(less, less_id, strict=True))
     return made
 
 
 def _edges(block: pa.Table) -> pa.Table:
-    """The last document by hash whose prefix fits, and up to _MORE others that
-    fill what is then missing: the largest that fit, then the nearest."""
+    """The last document by hash whose prefix fits, and those of the block's others
+    that fill what is then missing: the largest that fits, again and again, then
+    the nearest if that is nearer than none."""
     ids = np.asarray(block.column("doc_id").fill_null(_NONE).combine_chunks()).astype(np.int64)
     spots, size = np.asarray(block.column("spot").combine_chunks()), np.asarray(block.column("size").combine_chunks())
     order = np.lexsort((ids, spots))
@@ -204,16 +210,21 @@ def _edges(block: pa.Table) -> pa.Table:
     need = block.column("need")[0].as_py()
     n = int(np.searchsorted(np.cumsum(size), need, side="right"))
     gap, left, more = need - float(size[:n].sum()), list(range(n, len(size))), []
-    while left and len(more) < _MORE:
-        fits = [k for k in left if size[k] <= gap] if len(more) < _MORE - 1 else []
+    while left:
+        fits = [k for k in left if 0 < size[k] <= gap]
         k = max(fits, key=lambda k: size[k]) if fits else min(left, key=lambda k: abs(size[k] - gap))
         if abs(size[k] - gap) >= gap:
             break
         more.append(k)
         left.remove(k)
         gap -= float(size[k])
-    row = [block.column("k")[0].as_py(), block.column("place")[0].as_py(), int(spots[n - 1]) if n else -1, int(ids[n - 1]) if n else _NONE, [int(spots[k]) for k in more], [int(ids[k]) for k in more]]
-    return pa.table([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], names=["k", "place", "spot", "id", "more", "more_id"])
+    less = []
+    for k in sorted(range(n), key=lambda k: -size[k]) if gap < 0 else ():
+        if 0 < size[k] <= -gap:
+            less.append(k)
+            gap += float(size[k])
+    row = [block.column("k")[0].as_py(), block.column("place")[0].as_py(), int(spots[n - 1]) if n else -1, int(ids[n - 1]) if n else _NONE, *([int(x[k]) for k in own] for own in (more, less) for x in (spots, ids))]
+    return pa.table([pa.array([x], t) for x, t in zip(row, (pa.int32(), *[pa.int64()] * 3, *[pa.list_(pa.int64())] * 4), strict=True)], names=["k", "place", "spot", "id", "more", "more_id", "less", "less_id"])
 
 
 def draw(rows: DataFrame, made: Plan) -> DataFrame:
@@ -237,8 +248,12 @@ def draw(rows: DataFrame, made: Plan) -> DataFrame:
                 at = np.flatnonzero(e <= made.whole[k])
                 place = (a[k[at]] * block[at] + b[k[at]]) % made.blocks[k[at]]
                 own, s, i = k[at], spot[at], ids[at]
-                last = (s < made.edge[own]) | ((s == made.edge[own]) & (i <= made.edge_id[own])) | ((s[:, None] == made.more[own]) & (i[:, None] == made.more_id[own])).any(1)
-                last &= place == made.cut[own]
+                last = place == made.cut[own]
+                cut = np.flatnonzero(last)
+                own, s, i = own[cut], s[cut], i[cut]
+                named = list(zip(own.tolist(), zip(s.tolist(), i.tolist(), strict=True), strict=True))
+                more, less = (np.array([x in held.get(n, ()) for n, x in named], bool) for held in (made.more, made.less))
+                last[cut] = ((s < made.edge[own]) | ((s == made.edge[own]) & (i <= made.edge_id[own])) | more) & ~less
                 took = (e < made.whole[k[at]]) | (place < made.cut[k[at]]) | last
                 at, place = at[took], place[took]
                 row.append(at)
