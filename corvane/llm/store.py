@@ -1,8 +1,9 @@
 """Tables that a job writes for its own later steps.
 
 They lie in the folder that the cluster names in spark.checkpoint.dir, so every
-executor and the driver reach them, and a lost executor loses nothing.  Only
-where that setting is absent, as in a local test, a temporary folder is made.
+executor and the driver reach them, and a lost executor loses nothing.  Where that
+setting is absent a temporary folder is made if the master is local, as in a test;
+on a cluster it is an error, as executors wouldn't see each other's files.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ def folder(spark: SparkSession) -> str:
     """The shared folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="corvane-"))
         at = f"file://{_own[0]}"
