@@ -103,6 +103,22 @@ def parsed(query: Column) -> Column:
     return F.struct(*fields, F.when(sure, "high").otherwise("low").alias("confidence"), (~sure & has(query, P.COMPLEX)).alias("ask_model"))
 
 
+_SAID = "maxPrice double, minPrice double, colors array<string>, sizes array<string>, inStockOnly boolean, isComparison boolean, comparisonEntities array<string>"
+
+
+def constrained(query: Column, said: Column) -> Column:
+    """The constraints in the query, and where a model was to be asked those of its
+    JSON `said`, field by field: a field that is absent or of another kind leaves
+    what the query gave, and fewer than two things are no comparison."""
+    p = parsed(query)
+    m = F.when(p["ask_model"], F.from_json(F.regexp_extract(F.coalesce(said, F.lit("")), r"\{[\s\S]*\}", 0), _SAID))
+    either = lambda ours, theirs: F.coalesce(p[ours], F.lit(False)) | F.coalesce(m[theirs], F.lit(False))
+    return F.struct(
+        F.coalesce(m["maxPrice"], p["most"]).alias("most"), F.coalesce(m["minPrice"], p["least"]).alias("least"), F.coalesce(m["colors"], p["colors"]).alias("colors"), F.coalesce(m["sizes"], p["sizes"]).alias("sizes"),
+        either("in_stock", "inStockOnly").alias("in_stock"), either("comparison", "isComparison").alias("comparison"), F.when(F.size(m["comparisonEntities"]) >= 2, m["comparisonEntities"]).otherwise(p["compared"]).alias("compared"),
+    )
+
+
 def guardrail(message: Column) -> Column:
     out = F.lit(False)
     for pattern in P.GUARDRAILS:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import patterns as P
@@ -42,6 +42,35 @@ def totals(costed: DataFrame) -> DataFrame:
     return costed.groupBy("bot").agg(F.count("*").alias("calls"), *(F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in (*MEASURES, *COSTS)))
 
 
+def records(usage: DataFrame) -> DataFrame:
+    """Each bot's usage records with their place, the newest first."""
+    newest = Window.partitionBy("bot").orderBy(F.desc("ts"), F.desc("event_id"))
+    return usage.withColumn("place", F.row_number().over(newest))
+
+
+def log_rows(turns: DataFrame) -> DataFrame:
+    """The analytics log: twelve fields of each turn (bot_id, session_id, ts, ...),
+    defaults where one is null.  A turn on a path that isn't known isn't logged."""
+    given = {"session_id": "", "detected_lang": "eng", "is_non_english": False, "intent": "general", "rag_path": "semantic", "query_text": "", "translated_query": "", "reply_text": "", "chunks_retrieved": 0, "guardrail_fired": False}
+    rows = turns.select("bot_id", "ts", *(F.coalesce(c, F.lit(v)).alias(c) for c, v in given.items()), F.when(F.col("feedback").isin("up", "down"), F.col("feedback")).alias("feedback"))
+    return rows.where(F.col("bot_id").isNotNull() & F.col("rag_path").isin(*P.LOGGED_PATHS))
+
+
+def documents_of(documents: DataFrame, bots: DataFrame) -> DataFrame:
+    """Documents of the named bots (bot_id), with what the bots' rows say of them."""
+    return documents.join(bots, "bot_id")
+
+
+def upsert_documents(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Documents by (bot_id, url): a field that `new` has replaces what is stored,
+    one that is null or absent leaves it.  `new` has one row a document."""
+    key, old, now = ["bot_id", "url"], stored.alias("old"), new.alias("new")
+    rows = old.join(now, [F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}")) for k in key], "full_outer")
+    fields = list(dict.fromkeys([*stored.columns, *new.columns]))
+    both = lambda c: F.coalesce(*(F.col(f"{side}.{c}") for side, f in (("new", new), ("old", stored)) if c in f.columns)).alias(c)
+    return rows.select(*map(both, fields))
+
+
 def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The last row of each key: one aggregate, so a key with very many rows is
     reduced before it is shuffled."""

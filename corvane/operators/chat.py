@@ -38,13 +38,28 @@ def labelled(messages: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", "text", "has_history", "intent", Q.branch(F.col("intent")).alias("branch"), Q.guardrail(F.col("text")).alias("guarded"), F.col("follow.text").alias("resolved"), F.col("follow.was_resolved").alias("was_resolved"))
 
 
+#: what each kind of assistant does, in our words
+ROLES = {
+    "shopping_assistant": "the shopping assistant of @: you help to find, compare and choose products and tell what they cost",
+    "customer_support": "the customer support of @: you help with orders, rules, opening hours and services",
+    "lead_generation": "the sales contact of @: you answer what is asked about the offer and help people to get in touch",
+    "technical_support": "the technical support of @: you help to find faults and to follow instructions step by step",
+    "general_assistant": "the assistant of @: you answer questions about the business, its offer and its site",
+}
+
+
+def duty(role: Column, name: Column) -> Column:
+    """The text of a known role, any other role as it is, the general one for none."""
+    said = F.coalesce(*(F.when(role == k, F.lit(v)) for k, v in ROLES.items()), F.nullif(F.trim(role), F.lit("")), F.lit(ROLES["general_assistant"]))
+    return F.replace(said, F.lit("@"), name)
+
+
 def system_prompt(custom: Column, role: Column, business: Column, summary: Column, site: Column, context: Column) -> Column:
     """The bot's own prompt if it has more than 20 characters, else one made of
     its role, name and summary; the context follows either."""
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
     name = F.coalesce(blank(business), F.lit("our website"))
-    duty = F.coalesce(F.nullif(F.replace(blank(role), F.lit("_"), F.lit(" ")), F.lit("general assistant")), F.lit("assistant"))
     more = F.coalesce(F.concat(F.lit(" See "), blank(site), F.lit(" for anything else.")), F.lit(""))
-    made = F.concat(F.lit("You are the "), duty, F.lit(" of "), name, F.lit(". Answer from the context alone, name only links found in it, and say so when it has no answer."), more, F.coalesce(F.concat(F.lit("\n\nBUSINESS:\n"), blank(summary)), F.lit("")))
+    made = F.concat(F.lit("You are "), duty(role, name), F.lit(". Answer from the context alone, name only links found in it, and say so when it has no answer."), more, F.coalesce(F.concat(F.lit("\n\nBUSINESS:\n"), blank(summary)), F.lit("")))
     own = F.when(F.length(F.trim(custom)) > 20, F.trim(custom))
     return F.concat(F.coalesce(own, made), F.lit("\n\nCONTEXT:\n"), F.coalesce(blank(context), F.lit("No context available.")))

@@ -331,6 +331,23 @@ def chain(fused: Column, *scores: Column) -> Column:
     return F.coalesce(*scores, fused)
 
 
+def model_score(reply: Column, rank: Column, fused: Column, default: float = 0.8) -> Column:
+    """A candidate's score in a model's reply, a JSON list: that of the first entry
+    that names its place, from 0 or from 1, else of the entry at its place, else
+    the default.  A reply without a list leaves the fused score."""
+    entries = F.from_json(F.nullif(F.regexp_extract(reply, r"\[[\s\S]*\]", 0), F.lit("")), "array<string>")
+    place = lambda e: F.coalesce(*(F.get_json_object(e, f"$.{n}").try_cast("int") for n in ("index", "chunk", "item")))
+    named = F.filter(entries, lambda e: place(e).isin(0) & (rank == 1) | (place(e) == rank - 1) | (place(e) == rank))
+    entry = F.coalesce(F.try_element_at(named, F.lit(1)), F.try_element_at(entries, rank.cast("int")))
+    value = F.coalesce(entry.try_cast("double"), F.get_json_object(entry, "$.score").try_cast("double"), F.lit(default))
+    return F.when(entries.isNull(), F.coalesce(fused, F.lit(default))).otherwise(F.floor(value * 1e4 + 0.5) / 1e4)
+
+
+def top_n(rows: DataFrame, n: int = 10) -> DataFrame:
+    """What a provider that gives its `n` best returns of each query's candidates."""
+    return ranked(rows.withColumnRenamed("rank", "before"), [F.desc_nulls_last("score"), F.col("before"), F.col("id")], n).drop("before")
+
+
 def scored_text(contextual: Column, text: Column) -> Column:
     """What a scorer reads of a candidate."""
     return F.coalesce(F.nullif(contextual, F.lit("")), F.nullif(text, F.lit("")), F.lit(""))

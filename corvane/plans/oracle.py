@@ -9,7 +9,9 @@ from __future__ import annotations
 from corvane.functions import patterns as P
 from corvane.functions import urls as U
 from corvane.operators.detect import COMMON
+from corvane.operators import chat
 from corvane.plans import fixtures as X
+from corvane.plans import queries as Q
 
 S, L = P.sql, P.literal
 
@@ -51,6 +53,25 @@ URLS = f"(SELECT 'p' || page_id AS id, url FROM pages UNION ALL SELECT * FROM {X
 QUERIES = f"(SELECT 'b' || item_id AS id, text AS query FROM benchmark UNION ALL SELECT * FROM {X.values(X.QUERIES)})"
 
 
+def _sitemap(fetched: str, root: str, site: str) -> str:
+    """url, depth of the pages reached from a map, level by level."""
+    loc = L(r"(?i)<loc>\s*(?:<!\[CDATA\[)?\s*(https?://[^\s\]<]+)\s*(?:\]\]>)?\s*</loc>")
+    is_map = "(ends_with(url, '.xml') OR contains(url, 'sitemap'))"
+    levels = []
+    for d in range(3):
+        at = f"address = {L(root)}" if d == 0 else f"address IN (SELECT url FROM m{d - 1})"
+        levels.append(f"l{d} AS (SELECT address AS place, generate_subscripts(locs, 1) AS pos, unnest(locs) AS url FROM (SELECT address, regexp_extract_all(xml, {loc}, 1) AS locs FROM f WHERE {at})), p{d} AS (SELECT {d} AS depth, place, pos, url FROM l{d} WHERE NOT {is_map} AND {bare('url')} = {L(site)} AND {CRAWLABLE}), m{d} AS (SELECT url FROM l{d} WHERE {is_map} GROUP BY url ORDER BY min((place, pos)) LIMIT 15)")
+    return f"WITH f AS (SELECT address, xml FROM {fetched} x), {', '.join(levels)} SELECT url, min(depth) AS depth FROM (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2) GROUP BY url"
+
+
+def _tiers(third: int, kept: str, typed: str) -> str:
+    """Dense search of a third of the queries under a filter, then under the types,
+    then under none."""
+    some = [f"(SELECT * FROM {x} WHERE query % 3 = {third})" for x in (_dense(kept), _dense(typed, None), _dense("true", None))]
+    parts = [f"SELECT query, id, score, rank, {t} AS tier FROM {x}" + "".join(f" {'WHERE' if k == 0 else 'AND'} query NOT IN (SELECT query FROM {some[k]})" for k in range(t)) for t, x in enumerate(some)]
+    return " UNION ALL ".join(parts)
+
+
 def texts(columns: str) -> str:
     return f"SELECT id, {columns} FROM {TEXTS} t"
 
@@ -240,7 +261,6 @@ def oracle_sql() -> dict[str, str]:
         "intent": f"SELECT id, intent, {_branch} AS branch FROM {INTENT} i",
         "guardrail": f"SELECT id, {' OR '.join(has('text', p) for p in P.GUARDRAILS)} AS guarded FROM {MESSAGES} m",
         "likely_english": f"SELECT id, {_english} AS english FROM {MESSAGES} m",
-        "lang_prepare": f"SELECT id, 'eng' AS code, NOT (length(text) >= 40 OR {_english}) AS ask_model FROM {MESSAGES} m",
         "augment_query": f"SELECT id, {case([(f'intent = {L(a)}', f'text || {L(chr(32) + b)}') for a, b in P.AUGMENTATIONS], 'text')} AS augmented FROM {INTENT} i",
         "hyde_trigger": f"SELECT id, {_reason} AS reason FROM {INTENT} i",
         "expand_query": f"SELECT id, CASE WHEN ({_reason}) IS NULL AND {has('t', P.CATALOG)} THEN t || {L(' ' + P.CATALOG_SUFFIX)} ELSE t END AS expanded FROM {INTENT} i",
@@ -250,8 +270,8 @@ def oracle_sql() -> dict[str, str]:
         "context_header": "SELECT doc_id, 'Document Title: Page | Page Type: product page' || ' | URL: ' || source AS header FROM documents",
         "chunk_uuid": f"SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-' || CASE (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 WHEN 0 THEN '8' WHEN 1 THEN '9' WHEN 2 THEN 'a' ELSE 'b' END || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM (SELECT doc_id, {_UUID} AS h FROM (SELECT doc_id, source AS url, '0_' || (doc_id % 7) AS ix, text FROM documents))",
         "knn_dense": f"SELECT * FROM {_dense()}",
-        "filter_payload": f"SELECT * FROM {_dense('e.label IN (1, 3) AND e.label <= 2')}",
-        "dense_fallback": f"SELECT query, id, score, rank, 1 AS tier FROM {_dense('e.label IN (1, 3)', None)}",
+        "filter_payload": f"SELECT * FROM {_dense('e.label > 0 AND e.label * 10 <= 30 AND e.label % 2 = 1')}",
+        "dense_fallback": " UNION ALL ".join(_tiers(k, *rules) for k, rules in enumerate((("e.label >= 1", "e.label IN (1, 3)"), ("e.label > 100", "e.label IN (1, 3)"), ("e.label > 100", "e.label > 200")))),
         "knn_product": f"SELECT * FROM {_dense('true', '200000', 6)} WHERE query NOT IN (SELECT query FROM {_dense('e.label = 2', '300000', 6)}) UNION ALL SELECT * FROM {_dense('e.label = 2', '300000', 6)}",
         "bm25_stats": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_TOKENS})) AS term FROM documents) GROUP BY term",
         "bm25_topk": f"SELECT * FROM {BM25}",
@@ -276,14 +296,43 @@ def oracle_sql() -> dict[str, str]:
     t = trim("text")
     out["md_headings"] = f"""SELECT id, CAST(place - 1 AS INTEGER) AS place, 'h' || length(regexp_extract(x, {S('^(#{1,6})' + chr(92) + 's+(.+)')}, 1)) AS level, {trim(f"regexp_extract(x, {S('^(#{1,6})' + chr(92) + 's+(.+)')}, 2)")} AS text FROM (SELECT id, unnest(l) AS x, generate_subscripts(l, 1) AS place FROM
 (SELECT id, list_filter(string_split({t}, chr(10)), lambda y: regexp_matches(y, {S('^(#{1,6})' + chr(92) + 's+(.+)')})) AS l FROM {TEXTS} t))"""
-    made = "You are the customer support of Acme. Answer from the context alone, name only links found in it, and say so when it has no answer. See https://acme.example for anything else." + chr(10) * 2 + "BUSINESS:" + chr(10) + "Sells things."
-    out["prompt_build"] = f"SELECT conv_id, turn, CASE WHEN length(trim(text)) > 20 THEN trim(text) ELSE {L(made)} END || {L(chr(10) * 2 + 'CONTEXT:' + chr(10) + 'No context available.')} AS prompt FROM conversations WHERE role = 'system'"
-    counts = [f"len(list_filter(string_split_regex(lower(text), {S(chr(92) + 's+')}), lambda w: w IN ({', '.join(map(L, known.split()))})))" for _, known in COMMON]
+    rest = ". Answer from the context alone, name only links found in it, and say so when it has no answer. See https://acme.example for anything else." + chr(10) * 2 + "BUSINESS:" + chr(10) + "Sells things."
+    roles = [*chat.ROLES.values(), "a poet", chat.ROLES["general_assistant"]]
+    made = f"CASE conv_id % {len(roles)} " + " ".join(f"WHEN {k} THEN {L('You are ' + said.replace('@', 'Acme') + rest)}" for k, said in enumerate(roles)) + " END"
+    out["prompt_build"] = f"SELECT conv_id, turn, CASE WHEN role = 'system' AND length(trim(text)) > 20 THEN trim(text) ELSE {made} END || {L(chr(10) * 2 + 'CONTEXT:' + chr(10) + 'No context available.')} AS prompt FROM conversations"
+    counts = [f"len(list_filter(string_split_regex(lower(coalesce(text, '')), {S(chr(92) + 's+')}), lambda w: w IN ({', '.join(map(L, known.split()))})))" for _, known in COMMON]
     names = [n for n, _ in COMMON]
+    both = f"(SELECT id, text FROM {MESSAGES} m UNION ALL SELECT 'd' || doc_id, text FROM documents)"
+    told = f"(SELECT id, text, {case([(f'c{k} = best AND best > 0', L(n)) for k, n in enumerate(names)], chr(39) + 'und' + chr(39))} AS top, CASE WHEN total > 0 THEN best / CAST(total AS DOUBLE) ELSE 0 END AS score FROM (SELECT *, greatest({', '.join(f'c{k}' for k in range(len(names)))}) AS best, {' + '.join(f'c{k}' for k in range(len(names)))} AS total FROM (SELECT id, text, {', '.join(f'{c} AS c{k}' for k, c in enumerate(counts))} FROM {both} b)))"
+    sure = f"length({trim(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')}) >= 40 AND score >= 0.85 AND top NOT IN ('und', {', '.join(map(L, P.ENGLISH_CODES))})"
+    out["lang_prepare"] = f"SELECT id, code, code <> 'eng' AS non_english, NOT (code = 'eng' AND (coalesce(length(text) >= 40, false) OR {_english})) AS ask_model FROM (SELECT id, text, CASE WHEN {sure} THEN top ELSE 'eng' END AS code FROM {told} t) m"
+    out["analytics_log"] = f"SELECT 'bot_1' AS bot_id, r.id AS session_id, l.code AS detected_lang, l.non_english AS is_non_english, r.intent, r.rag_path, coalesce(m.text, '') AS query_text, '' AS translated_query, coalesce(r.reply, '') AS reply_text, CAST(0 AS BIGINT) AS chunks_retrieved, coalesce(g.guarded, false) AS guardrail_fired, CAST(NULL AS VARCHAR) AS feedback FROM ({out['chat_route']}) r JOIN ({out['guardrail']}) g USING (id) JOIN ({out['lang_prepare']}) l USING (id) JOIN {MESSAGES} m USING (id) WHERE r.rag_path IN ({', '.join(map(L, P.LOGGED_PATHS))})"
+    spoken = "[" + ", ".join(map(L, Q.SAID)) + "]"
+    number = lambda f: f"CASE WHEN json_type(j, '$.{f}') IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN CAST(json_extract(j, '$.{f}') AS DOUBLE) END"
+    array = lambda f: f"CASE WHEN json_type(j, '$.{f}') = 'ARRAY' THEN CAST(json_extract(j, '$.{f}') AS VARCHAR[]) END"
+    flag = lambda f: f"coalesce(json_extract_string(j, '$.{f}') = 'true', false)"
+    out["query_constraints"] = f"""WITH s AS (SELECT id, regexp_extract({spoken}[length(coalesce(query, '')) % {len(Q.SAID)} + 1], '(?s)\\{{.*\\}}') AS x FROM {QUERIES} q), p AS (SELECT * FROM s JOIN ({out['query_price']}) USING (id) JOIN ({out['query_facets']}) USING (id) JOIN ({out['query_compare']}) USING (id) JOIN (SELECT id, ask_model FROM ({out['query_parse']})) USING (id)),
+j AS (SELECT *, CASE WHEN ask_model AND json_valid(x) THEN CAST(x AS JSON) END AS j FROM p)
+SELECT id, coalesce({_cents(number('maxPrice'))}, most_cents) AS most_cents, coalesce({_cents(number('minPrice'))}, least_cents) AS least_cents, coalesce(array_to_string({array('colors')}, '|'), colors) AS colors, coalesce(array_to_string({array('sizes')}, '|'), sizes) AS sizes, coalesce(in_stock, false) OR {flag('inStockOnly')} AS in_stock, coalesce(comparison, false) OR {flag('isComparison')} AS comparison, coalesce(CASE WHEN len({array('comparisonEntities')}) >= 2 THEN array_to_string({array('comparisonEntities')}, '|') END, compared) AS compared FROM j"""
+    place = "coalesce(try_cast(e ->> '$.index' AS INT), try_cast(e ->> '$.chunk' AS INT), try_cast(e ->> '$.item' AS INT))"
+    out["model_scores"] = f"""WITH r AS (SELECT *, regexp_extract([{', '.join(map(L, Q.REPLIES))}][query % {len(Q.REPLIES)} + 1], '(?s)\\[.*\\]') AS x FROM {DIVERSE} d), l AS (SELECT *, CASE WHEN x <> '' THEN CAST(CAST(x AS JSON) AS JSON[]) END AS entries FROM r),
+n AS (SELECT *, coalesce(list_filter(entries, lambda e: {place} IN (rank - 1, rank))[1], entries[rank]) AS entry FROM l),
+v AS (SELECT query, id, rank AS before, CASE WHEN entries IS NULL THEN coalesce(score, 0.8::DOUBLE) ELSE floor(coalesce(try_cast(CAST(entry AS VARCHAR) AS DOUBLE), try_cast(entry ->> '$.score' AS DOUBLE), 0.8::DOUBLE) * 1e4 + 0.5) / 1e4 END AS score FROM n)
+SELECT query, id, rank, CAST(floor(score * 1e4 + 0.5) AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC NULLS LAST, before, id) AS rank FROM v) WHERE rank <= 10"""
+    out["not_visited"] = f"SELECT DISTINCT link AS url FROM ({{links}}) WHERE link NOT IN (SELECT url FROM {URLS} u WHERE url IS NOT NULL)"
+    out["usage_records"] = f"SELECT bot, row_number() OVER (PARTITION BY bot ORDER BY ts DESC, event_id DESC) AS place, event_id, model, total_cost FROM {COSTED} c"
+    stored = "(SELECT 'bot_' || (doc_id % 4) AS bot_id, '/d' || doc_id AS url, doc_id AS no, n_chars, lang, source FROM documents)"
+    out["bot_documents"] = f"SELECT bot_id, bot_name, url, n_chars FROM {stored} s JOIN (VALUES ('bot_1', 'One'), ('bot_3', 'Three'), ('bot_9', 'None')) AS b(bot_id, bot_name) USING (bot_id)"
+    newer = f"(SELECT bot_id, CASE WHEN no % 2 = 0 THEN url ELSE url || '/new' END AS url, CASE WHEN no % 9 = 0 THEN n_chars + 1 END AS n_chars, no % 7 AS chunks FROM {stored} s WHERE no % 3 = 0)"
+    out["documents_upsert"] = f"SELECT bot_id, url, coalesce(n.n_chars, o.n_chars) AS n_chars, o.lang, o.source, n.chunks FROM {stored} o FULL OUTER JOIN {newer} n USING (bot_id, url)"
     out["lang_detect"] = f"SELECT doc_id, {case([(f'c{k} = best AND best > 0', L(n)) for k, n in enumerate(names)], chr(39) + 'und' + chr(39))} AS code, CASE WHEN total > 0 THEN best / CAST(total AS DOUBLE) ELSE 0 END AS score FROM (SELECT *, greatest({', '.join(f'c{k}' for k in range(len(names)))}) AS best, {' + '.join(f'c{k}' for k in range(len(names)))} AS total FROM (SELECT doc_id, {', '.join(f'{c} AS c{k}' for k, c in enumerate(counts))} FROM documents))"
     out["search"] = f"""WITH near AS (SELECT f.query, f.id, f.rank, d.source, d.text, row_number() OVER (PARTITION BY f.query, d.source ORDER BY f.rank, f.id) AS own FROM {RRF} f JOIN documents d ON d.doc_id = f.id), pool AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank, id) AS r FROM near WHERE own <= 2)
 SELECT query, CAST(r AS INTEGER) AS rank, id, source AS url, CAST(floor(greatest(0.85::DOUBLE - (r - 1) * 0.02::DOUBLE, 0.70::DOUBLE) * 1e4 + 0.5) AS BIGINT) AS score, substr(text, 1, 80) AS excerpt FROM pool WHERE r <= 5"""
-    out["sitemap_locs"] = "SELECT * FROM (VALUES ('https://e.com/a', 1), ('https://www.e.com/d', 1), ('https://e.com/z', 2)) AS v(url, depth)"
+    child = "'https://gen.example/map' || k || '.xml'"
+    tag = lambda x: f"'<url><loc>' || {x} || '</loc></url>'"
+    own = f"{tag(chr(39) + 'https://gen.example/p/' + chr(39) + ' || page_id')} || {tag('replace(url, ' + chr(39) + '&' + chr(39) + ', ' + chr(39) + '&amp;' + chr(39) + ')')}"
+    made = f"(SELECT 'https://gen.example/sitemap.xml' AS address, string_agg('<sitemap><loc>' || {child} || '</loc></sitemap>', '' ORDER BY k) AS xml FROM range(20) r(k) UNION ALL SELECT {child}, xml FROM (SELECT page_id % 20 AS k, string_agg({own}, '' ORDER BY page_id) AS xml FROM pages GROUP BY 1))"
+    out["sitemap_locs"] = f"SELECT url, depth FROM ({_sitemap(X.values(X.SITEMAPS), 'https://e.com/sitemap.xml', 'e.com')}) UNION ALL SELECT url, depth FROM ({_sitemap(made, 'https://gen.example/sitemap.xml', 'gen.example')})"
     pages = f"(SELECT url, html FROM pages UNION ALL SELECT * FROM {X.values(X.PAGES)})"
     good = "html IS NOT NULL AND NOT contains(html, '>null</script>')"
     tags = lambda p: f"CAST(CASE WHEN {good} THEN len(regexp_extract_all(html, {S(p)})) WHEN html IS NULL THEN 0 END AS INTEGER)"
@@ -316,6 +365,7 @@ SELECT id, coalesce(r, t) AS resolved, r IS NOT NULL AS was_resolved FROM e"""
     inside, outside = "sum(CAST(NOT should_abstain AS INT))", "sum(CAST(should_abstain AS INT))"
     out["eval_recall"] = f"""WITH top AS (SELECT query, max(score) AS top FROM {BM25} GROUP BY query), r AS (SELECT g.query, should_abstain, coalesce(top, 0) < 40000000 AS abstained, CASE WHEN NOT (coalesce(top, 0) < 40000000) AND NOT should_abstain THEN h.rank END AS rank FROM {golden} g LEFT JOIN top USING (query) LEFT JOIN {hits} h USING (query))
 SELECT count(*) AS queries, {share('CAST(sum(CAST(rank = 1 AS INT)) AS DOUBLE)', inside)} AS recall_1, {share('CAST(sum(CAST(rank <= 5 AS INT)) AS DOUBLE)', inside)} AS recall_5, {share('sum(1.0::DOUBLE / rank)', inside)} AS mrr, {share('CAST(sum(CAST(should_abstain AND abstained AS INT)) AS DOUBLE)', outside)} AS abstention FROM r"""
+    out["not_visited"] = out["not_visited"].replace("{links}", out["page_links"])
     # these are made of what this module has
     from corvane.plans import pages_sql, structure_sql
 

@@ -153,8 +153,30 @@ def business_name(spark, sf_dir):
     return accounts.business_name(accounts.ingest_status(rows))
 
 
+def _sitemaps(spark, sf_dir):
+    """A map of twenty child maps over all pages, each with a page of its own site
+    and the page's own address for each."""
+
+    def tag(url: Column) -> Column:
+        return F.concat(F.lit("<url><loc>"), url, F.lit("</loc></url>"))
+
+    pages = table(spark, sf_dir, "pages").select((F.col("page_id") % 20).alias("k"), "page_id", tag(F.concat(F.lit("https://gen.example/p/"), F.col("page_id").cast("string"))).alias("own"), tag(F.regexp_replace("url", "&", "&amp;")).alias("other"))
+    child = lambda k: F.concat(F.lit("https://gen.example/map"), k.cast("string"), F.lit(".xml"))
+    maps = pages.groupBy("k").agg(F.array_join(F.flatten(F.array_sort(F.collect_list(F.array("own", "other")))), "").alias("xml")).select(child(F.col("k")), "xml")
+    index = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.concat(F.lit("<sitemap><loc>"), child(k), F.lit("</loc></sitemap>"))), "")
+    root = spark.range(1).select(F.lit("https://gen.example/sitemap.xml"), index)
+    return root.union(maps).toDF("address", "xml")
+
+
 def sitemap_locs(spark, sf_dir):
-    return S.sitemap(D.frame(spark, D.SITEMAPS), "https://e.com/sitemap.xml", "https://e.com")
+    own = S.sitemap(D.frame(spark, D.SITEMAPS), "https://e.com/sitemap.xml", "https://e.com")
+    return own.union(S.sitemap(_sitemaps(spark, sf_dir), "https://gen.example/sitemap.xml", "https://gen.example"))
+
+
+def not_visited(spark, sf_dir):
+    """Of all links in pages those whose page isn't among the pages."""
+    found = page_links(spark, sf_dir).select(F.col("link").alias("url")).distinct()
+    return S.not_visited(found, urls(spark, sf_dir))
 
 
 def md_headings(spark, sf_dir):
@@ -216,8 +238,61 @@ def chat_route(spark, sf_dir):
 
 
 def prompt_build(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("role = 'system'").select("conv_id", "turn", "text")
-    return rows.select("conv_id", "turn", chat.system_prompt(F.col("text"), F.lit("customer_support"), F.lit("Acme"), F.lit("Sells things."), F.lit("https://acme.example"), F.lit("")).alias("prompt"))
+    """The bots' own prompts, and for every other turn one of its bot's role."""
+    roles = F.array(*map(F.lit, (*chat.ROLES, "a poet", "")))
+    role = F.element_at(roles, (F.col("conv_id") % (len(chat.ROLES) + 2) + 1).cast("int"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "system", F.col("text")).alias("text"), role.alias("as"))
+    return rows.select("conv_id", "turn", chat.system_prompt(F.col("text"), F.col("as"), F.lit("Acme"), F.lit("Sells things."), F.lit("https://acme.example"), F.lit("")).alias("prompt"))
+
+
+def analytics_log(spark, sf_dir):
+    """The log of all messages, as far as they need no model."""
+    path = Q.route(F.col("intent"), Q.guardrail(F.col("text")))
+    rows = detected(labelled(spark, sf_dir)).withColumns({"rag_path": path, "l": Q.language(F.col("text"), F.col("d.code"), F.col("d.score"))})
+    return accounts.log_rows(rows.select(
+        F.lit("bot_1").alias("bot_id"), F.col("id").alias("session_id"), F.lit(None).cast("timestamp").alias("ts"), F.col("l.code").alias("detected_lang"), F.col("l.non_english").alias("is_non_english"), "intent", "rag_path", F.col("text").alias("query_text"), F.lit(None).cast("string").alias("translated_query"),
+        Q.fixed_reply(F.col("text"), F.col("rag_path"), F.col("has_history"), F.lit("Acme"), F.lit("")).alias("reply_text"), F.lit(None).cast("long").alias("chunks_retrieved"), Q.guardrail(F.col("text")).alias("guardrail_fired"), F.lit(None).cast("string").alias("feedback"),
+    )).drop("ts")
+
+
+def detected(rows: DataFrame) -> DataFrame:
+    from corvane.operators.detect import detect
+
+    return rows.withColumn("d", detect(F.col("text")))
+
+
+def lang_prepare(spark, sf_dir):
+    """Messages and documents with what is made of the detector's answer."""
+    own = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
+    rows = detected(messages(spark, sf_dir).select("id", "text").union(own))
+    return rows.select("id", Q.language(F.col("text"), F.col("d.code"), F.col("d.score")).alias("l")).select("id", "l.code", "l.non_english", "l.ask_model")
+
+
+#: a model's answers on a query's constraints
+SAID = (
+    'Sure: {"maxPrice": 40, "colors": ["teal"], "inStockOnly": true}', '{"minPrice": 5.5, "sizes": ["M", "L"], "isComparison": true, "comparisonEntities": ["a", "b"]}', '{"maxPrice": "12", "colors": "red", "comparisonEntities": ["a"]}', "no list at all", "{broken",
+)
+
+
+def query_constraints(spark, sf_dir):
+    """What is merged of a query and a model's answer, one answer after the other."""
+    rows = asked(spark, sf_dir).withColumn("said", F.element_at(F.array(*map(F.lit, SAID)), (F.length(F.coalesce("query", F.lit(""))) % len(SAID) + 1).cast("int")))
+    p = F.col("p")
+    rows = rows.select("id", Q.constrained(F.col("query"), F.col("said")).alias("p"))
+    return rows.select("id", cents(p["most"]).alias("most_cents"), cents(p["least"]).alias("least_cents"), bars(p["colors"]).alias("colors"), bars(p["sizes"]).alias("sizes"), p["in_stock"].alias("in_stock"), p["comparison"].alias("comparison"), bars(p["compared"]).alias("compared"))
+
+
+#: a scoring model's answers
+REPLIES = ('Scores: [{"index": 0, "score": 0.91}, {"index": 2, "score": 0.33333}]', "[0.5, 0.25, 0.125]", '[{"chunk": 3, "score": 0.07}]', "sorry", '[{"item": 2}]')
+
+
+def model_scores(spark, sf_dir):
+    """The twelve candidates of each ranking with a model's scores, and the ten that
+    a provider returns."""
+    pool = retrieval.diverse(_ranked(spark, sf_dir))
+    reply = F.element_at(F.array(*map(F.lit, REPLIES)), (F.col("query") % len(REPLIES) + 1).cast("int"))
+    scored = pool.withColumn("score", retrieval.model_score(reply, F.col("rank"), F.col("score")))
+    return retrieval.top_n(scored).select("query", "id", "rank", retrieval.four(F.col("score")).alias("score"))
 
 
 def history_window(spark, sf_dir):
@@ -244,13 +319,21 @@ def knn_dense(spark, sf_dir):
 
 
 def filter_payload(spark, sf_dir):
+    """Points in stock at a price of 30 at most; label 0 has no price."""
     queries, points = _vectors(spark, sf_dir)
-    return retrieval.dense(queries, points.where(F.col("label").isin(1, 3) & (F.col("label") <= 2)))
+    price, stock = F.when(F.col("label") > 0, F.col("label") * 10.0), F.col("label") % 2 == 1
+    return retrieval.dense(queries, points.where(Q.payload_filter(F.lit(30.0), F.lit(True), price, stock)))
 
 
 def dense_fallback(spark, sf_dir):
+    """Thirds of the queries: under a filter that some points pass, one that only
+    the page types widen, and one that only all points do."""
     queries, points = _vectors(spark, sf_dir)
-    return retrieval.dense_with_fallback(queries, points, F.col("label") > 100, F.col("label").isin(1, 3))
+    third = lambda k: queries.where(F.col("query") % 3 == k)
+    label = F.col("label")
+    own = retrieval.dense_with_fallback(third(0), points, label >= 1, label.isin(1, 3))
+    wider = retrieval.dense_with_fallback(third(1), points, label > 100, label.isin(1, 3))
+    return own.union(wider).union(retrieval.dense_with_fallback(third(2), points, label > 100, label > 200))
 
 
 def knn_product(spark, sf_dir):
@@ -381,6 +464,28 @@ def usage_cost(spark, sf_dir):
     return accounts.costs(_usage(spark, sf_dir)).drop("ts")
 
 
+def usage_records(spark, sf_dir):
+    return accounts.records(accounts.costs(_usage(spark, sf_dir))).select("bot", "place", "event_id", "model", "total_cost")
+
+
+def _stored(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("bot_"), (F.col("doc_id") % 4).cast("string")).alias("bot_id"), F.concat(F.lit("/d"), F.col("doc_id").cast("string")).alias("url"), F.col("doc_id").alias("no"), "n_chars", "lang", "source")
+
+
+def bot_documents(spark, sf_dir):
+    """Documents of two bots, with the bots' names."""
+    bots = spark.createDataFrame([("bot_1", "One"), ("bot_3", "Three"), ("bot_9", "None")], "bot_id string, bot_name string")
+    return accounts.documents_of(_stored(spark, sf_dir), F.broadcast(bots)).select("bot_id", "bot_name", "url", "n_chars")
+
+
+def documents_upsert(spark, sf_dir):
+    """A second ingest of every third document and of some new ones: chunks are
+    counted, sizes change, what isn't said stays."""
+    stored = _stored(spark, sf_dir)
+    new = stored.where("no % 3 = 0").select("bot_id", F.when(F.col("no") % 2 == 0, F.col("url")).otherwise(F.concat("url", F.lit("/new"))).alias("url"), F.when(F.col("no") % 9 == 0, F.col("n_chars") + 1).alias("n_chars"), (F.col("no") % 7).alias("chunks"))
+    return accounts.upsert_documents(stored.drop("no"), new)
+
+
 def usage_totals(spark, sf_dir):
     return accounts.totals(accounts.costs(_usage(spark, sf_dir)))
 
@@ -428,7 +533,6 @@ def queries() -> dict[str, Query]:
         "intent": _each(labelled, lambda: dict(intent=label(), branch=Q.branch(label()))),
         "guardrail": _each(messages, lambda: dict(guarded=Q.guardrail(said()))),
         "likely_english": _each(messages, lambda: dict(english=Q.likely_english(said()))),
-        "lang_prepare": lambda s, d: _each(messages, lambda: dict(l=Q.language(said(), F.lit("und"), F.lit(0.0))))(s, d).select("id", "l.code", "l.ask_model"),
         "augment_query": _each(labelled, lambda: dict(augmented=Q.augmented(said(), label()))),
         "hyde_trigger": _each(labelled, lambda: dict(reason=Q.hyde_reason(said(), label(), F.lit(False)))),
         "expand_query": _each(labelled, lambda: dict(expanded=Q.expanded(said(), label(), F.lit(False)))),
@@ -437,7 +541,7 @@ def queries() -> dict[str, Query]:
     for f in (
         crawl_queue, quality_gate, is_html, page_title, html_headings, html_markdown, html_tables, page_links, jsonld_lines, ingest_status, business_name, sitemap_locs, md_headings, doc_blocks, chunk_parent, chunk_child, context_header, chunk_uuid, chunk_points, resolve_followup, chat_route,
         prompt_build, history_window, lang_detect, knn_dense, filter_payload, dense_fallback, knn_product, bm25_stats, bm25_topk, rrf_fuse, compare_interleave, diversity_cap, calibrate_scores, rerank_none, rerank_select, abstention, parent_resolve, context_text, eval_recall, search,
-        usage_tokens, usage_cost, usage_totals, feedback_latest, upsert_points, stream_usage, scan_pages,
+        usage_tokens, usage_cost, usage_totals, usage_records, bot_documents, documents_upsert, analytics_log, lang_prepare, query_constraints, model_scores, not_visited, feedback_latest, upsert_points, stream_usage, scan_pages,
     ):
         out[f.__name__] = f
     return out

@@ -57,6 +57,11 @@ def queue(pages: DataFrame, order: str, limit: int = MOST_PAGES) -> DataFrame:
     return first.select("url", F.row_number().over(Window.orderBy("first", "url")).alias("place"))
 
 
+def not_visited(found: DataFrame, visited: DataFrame) -> DataFrame:
+    """Addresses (url) that weren't fetched yet."""
+    return found.join(visited.select("url").distinct(), "url", "left_anti")
+
+
 def upsert(stored: DataFrame | None, new: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """What is stored with `new` over it: the last row of each key."""
     return latest(new if stored is None else stored.unionByName(new, allowMissingColumns=True), key, order)
@@ -74,10 +79,13 @@ def open_points(spark: SparkSession, path: str, size: int) -> DataFrame | None:
 
     try:
         points = spark.read.parquet(path)
-    except AnalysisException:
-        return None
-    other = points.where(F.col("vector").isNotNull() & (F.size("vector") != size))
-    return points if other.isEmpty() else None
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    # all of a collection are of one size, as `with_vectors` sees to
+    first = points.where("vector is not null").select(F.size("vector")).head()
+    return points if first is None or first[0] == size else None
 
 
 def with_vectors(points: DataFrame, vectors: DataFrame, size: int) -> DataFrame:

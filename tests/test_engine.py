@@ -252,12 +252,98 @@ def test_stream_equals_batch_and_drops_late_rows(spark, tmp_path):
 
 
 def test_upserts_survive_a_batch_run_twice(spark, tmp_path):
-    run = stream.upserter(f"file://{tmp_path}/t", ["id"], ["v"])
+    path = f"file://{tmp_path}/t"
+    run = stream.upserter(path, ["id"], ["v"], buckets=8)
     row = lambda *r: spark.createDataFrame(list(r), "id long, v long")
-    run(row((1, 1), (2, 1)), 0)
+    held = lambda n: sorted(map(tuple, stream.upserted(spark, path, n).select("id", "v").collect()))
+    run(row(*((k, 1) for k in range(40))), 0)
     run(row((1, 5), (1, 3)), 1)
     run(row((1, 5), (1, 3)), 1)
-    assert sorted(map(tuple, spark.read.parquet(f"file://{tmp_path}/t/1").collect())) == [(1, 5), (2, 1)]
+    assert held(1) == [(k, 5 if k == 1 else 1) for k in range(40)] and held(0) == [(k, 1) for k in range(40)]
+    assert len(list((tmp_path / "t/data/batch=1").glob("bucket=*"))) == 1  # only what the batch touched
+    run(row().limit(0), 2)
+    assert held(2) == held(1)
+
+
+def test_upserts_never_start_from_nothing(spark, tmp_path):
+    import shutil
+
+    path = f"file://{tmp_path}/t"
+    run = stream.upserter(path, ["id"], ["v"])
+    row = lambda *r: spark.createDataFrame(list(r), "id long, v long")
+    for n in range(3):
+        run(row((n, n)), n)
+    with pytest.raises(ValueError, match="further"):
+        run(row((9, 9)), 0)
+    shutil.rmtree(tmp_path / "t/manifest/2")
+    with pytest.raises(ValueError, match="no finished batch 2"):
+        run(row((3, 3)), 3)
+    with pytest.raises(ValueError, match="no finished batch 7"):
+        stream.upserted(spark, path, 7)
+
+
+def test_the_library_stands_without_its_training_data_part(tmp_path):
+    """A copy without those folders, with and without the pipeline beside it."""
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    root = pathlib.Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "corvane", tmp_path / "corvane", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path / name)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'search' in q and set(e.oracle_sql()) <= set(q); assert not [n for n in q if n.startswith('op1') or n == 'pipeline']; print(len(q))"
+    for _ in range(2):
+        done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+        assert done.returncode == 0 and int(done.stdout) > 70, done.stderr
+        (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
+
+
+def test_documents_are_set_in_part(spark):
+    old = spark.createDataFrame([("a", "/1", 5, "x"), ("a", "/2", 6, "y")], "bot_id string, url string, size int, kind string")
+    new = spark.createDataFrame([("a", "/2", None, 3), ("b", "/2", 1, 4)], "bot_id string, url string, size int, chunks int")
+    got = sorted(map(str, map(tuple, accounts.upsert_documents(old, new).select("bot_id", "url", "size", "kind", "chunks").collect())))
+    assert got == ["('a', '/1', 5, 'x', None)", "('a', '/2', 6, 'y', 3)", "('b', '/2', 1, None, 4)"]
+
+
+def test_inner_tables_are_written_once(spark):
+    """Twelve tables in each other in moments; a page that would be too long is an
+    error of its own."""
+    import time
+
+    def page(n):
+        return "<table><tr><td>x" * n + "</td></tr></table>" * n
+
+    began = time.time()
+    assert html.read(page(12))["error"] is None and time.time() - began < 5
+    assert "a table of over" in html.read(page(40))["error"] and time.time() - began < 60
+
+
+def test_many_queries_go_in_blocks(spark, sf_dir, monkeypatch):
+    """Twenty thousand queries, and blocks of few cells, give what one block gives."""
+    docs = spark.createDataFrame([(k, f"w{k % 97} common t{k % 13} t{k % 7}") for k in range(60)], "id long, text string")
+    few = spark.createDataFrame([(k, f"w{k % 97} common") for k in range(40)], "query long, text string")
+    want = sorted(map(tuple, retrieval.bm25(few, docs).collect()))
+    monkeypatch.setattr(retrieval, "QUERY_CELLS", 200)
+    assert sorted(map(tuple, retrieval.bm25(few, docs).collect())) == want
+    monkeypatch.undo()
+    many = spark.range(20_000).selectExpr("id as query", "concat('w', id % 97) as text")
+    got = retrieval.bm25(many, docs, limit=1).groupBy().agg(F.count("*"), F.max("rank")).head()
+    assert got[0] == sum(k % 97 < 60 for k in range(20_000)) and got[1] == 1
+
+
+def test_containment_by_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    texts = ["".join(r.choice("abAB ") for _ in range(r.randint(0, 30))) for _ in range(80)] + [None, ""]
+    asked = ["".join(r.choice("abAB ") for _ in range(r.randint(0, 5))) for _ in range(60)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    questions = spark.createDataFrame(list(enumerate(asked)), "query long, text string")
+    want = {k for k, q in enumerate(asked) if q is not None and any(t is not None and q.lower() in t.lower() for t in texts)}
+    assert {x[0] for x in retrieval.containing(questions, docs).collect()} == want
 
 
 def test_flagship(spark):
