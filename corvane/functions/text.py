@@ -138,12 +138,16 @@ def listed(text: Column, values: tuple[str, ...], patterns: tuple[str, ...], nam
 
 
 def page_colors(text: Column) -> Column:
-    return listed(text, P.PAGE_COLORS, (r"(?i)\b(@)\b",), str)
+    """Words of the list, which are whole runs of ASCII letters, digits and `_`."""
+    own = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit("[A-Za-z0-9_]+"), 0)), F.lower)
+    return F.coalesce(F.array_intersect(F.array(*map(F.lit, P.PAGE_COLORS)), own), F.array().cast("array<string>"))
 
 
 def page_sizes(text: Column) -> Column:
     numbers = F.regexp_extract_all(text, F.lit(java(P.PAGE_NUMBER_SIZE)), 1)
-    return distinct(F.concat(listed(text, P.PAGE_SIZES, SIZE_WORDS, _upper), numbers))
+    # few texts have the word that all these patterns need
+    named = F.when(F.contains(F.lower(text), F.lit("size")), listed(text, P.PAGE_SIZES, SIZE_WORDS, _upper)).otherwise(F.array().cast("array<string>"))
+    return distinct(F.concat(named, numbers))
 
 
 def page_stock(text: Column) -> Column:

@@ -143,7 +143,7 @@ def dense_with_fallback(queries: DataFrame, points: DataFrame, kept: Column, typ
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9À-ɏ]+"), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9À-ɏ]+"), 0)
 
 
 _WORD = re.compile("[a-z0-9À-ɏ]+")
