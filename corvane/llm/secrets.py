@@ -221,6 +221,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, words: str | None = None
     the forest's probability and verdict.  A forest of one's own must have been
     trained with the same dictionary `words`."""
     forest = forest or _default(words)
+    known = docs.sparkSession.sparkContext.broadcast(dictionary(words))  # as large as the vocabulary file
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.string()), ("score", pa.float64()), ("secret", pa.bool_())])
 
     def run(batches):
@@ -228,7 +229,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, words: str | None = None
             out = []
             for rows in W.slices(batch):
                 for doc, text, path in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "text", "source")), strict=True):
-                    out += [(doc, a, b, kind, p, p >= least) for a, b, kind, p in _judged(text, path, forest, dictionary(words))]
+                    out += [(doc, a, b, kind, p, p >= least) for a, b, kind, p in _judged(text, path, forest, known.value)]
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
             yield batch_of(schema, [pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)])
 
@@ -239,6 +240,7 @@ def redact(docs: DataFrame, forest: Forest | None = None, words: str | None = No
     """`docs` with each secret in text replaced; n_chars follows where it was
     the length."""
     forest, names = forest or _default(words), docs.columns
+    known = docs.sparkSession.sparkContext.broadcast(dictionary(words))
 
     def run(batches):
         for batch in batches:
@@ -246,7 +248,7 @@ def redact(docs: DataFrame, forest: Forest | None = None, words: str | None = No
                 texts, paths = rows.column("text").to_pylist(), rows.column("source").to_pylist()
                 changed = {}
                 for k, (text, path) in enumerate(zip(texts, paths, strict=True)):
-                    bad = [f for f in _judged(text, path, forest, dictionary(words)) if f[3] >= least]
+                    bad = [f for f in _judged(text, path, forest, known.value) if f[3] >= least]
                     for a, b, _, _ in reversed(bad):
                         text = text[:a] + mark + text[b:]
                     if bad:

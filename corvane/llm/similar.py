@@ -11,7 +11,8 @@ shares a sampled token stays together with at least the chance of a branching
 process that doesn't die out.  Nodes of one class end; nodes of at most `small`
 classes are leaves and are compared by brute force; larger ones split on, up to
 `depth`, where what is left is compared in blocks, every block with every other,
-so no bucket is capped.  The number of runs follows from the recall wanted of a
+so no bucket is capped.  Leaves grow with the corpus at one depth, so the depth
+grows by one with each tenfold number of classes.  The number of runs follows from the recall wanted of a
 pair at the threshold that needs the full depth and whose signatures agree in
 2.5 standard deviations less than they should; other pairs have more.
 
@@ -108,6 +109,11 @@ def runs_needed(recall: float, threshold: float, depth: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - p))
 
 
+def depth_for(classes: int) -> int:
+    """Levels of splits: four up to a million classes, one more for each tenfold."""
+    return 4 + max(0, math.ceil(math.log10(max(classes, 1)) - 6))
+
+
 def children(parent: np.ndarray, sig: np.ndarray, threshold: float, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Rows and hashes of the children to which each (node, signature) goes."""
     own = np.arange(len(parent))
@@ -223,7 +229,7 @@ def _products(row: np.ndarray, which: np.ndarray, rows: int) -> np.ndarray:
     order = np.argsort(which, kind="stable")
     row, which = row[order], which[order]
     shared = np.zeros((rows, rows), np.float32)
-    wide = max(1, 16_000_000 // rows)
+    wide = max(1, 4_000_000 // rows)
     for low in range(0, int(which[-1]) + 1 if len(which) else 0, wide):
         x, y = np.searchsorted(which, [low, low + wide])
         part = np.zeros((rows, min(wide, int(which[-1]) + 1 - low)), np.float32)
@@ -319,13 +325,14 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(wanted, "id").select("cid", "text").mapInArrow(run, "cid long, value binary").dropDuplicates(["cid"])
 
 
-def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, depth: int = 4, small: int = 64, block: int = 512) -> DataFrame:
+def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, depth: int | None = None, small: int = 64, block: int = 512) -> DataFrame:
     """doc_id, class_id (least doc_id with the same set), n_copies of the class,
     n_links (other classes at the threshold or above), group_id (least class_id
     of the component that links make), and cid."""
     drawn = store.keep(sketch(docs), "sketch")
     least = F.min(F.coalesce("doc_id", F.lit(_NONE))).alias("id")
     classes = store.keep(drawn.groupBy("cid").agg(least, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    depth = depth_for(classes.count()) if depth is None else depth
     found = store.keep(leaves(classes, runs_needed(recall, threshold, depth), threshold, depth, small, block), "leaves")
     # a class has as many leaves as the runs and their branches
     lists = found.groupBy("cid").agg(F.sort_array(F.collect_list("path")).alias("all"))
