@@ -8,14 +8,32 @@ on a cluster it is an error, as executors wouldn't see each other's files.
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+_job: contextvars.ContextVar[str] = contextvars.ContextVar("job", default="all")
+#: names in the catalogue, by job
+_tables: dict[str, list[str]] = {}
+
+
+@contextlib.contextmanager
+def job(name: str | None = None) -> Iterator[str]:
+    """Within this, tables belong to a job of their own, whose name it gives and
+    which `cleanup` can remove by itself."""
+    name = name or uuid.uuid4().hex
+    token = _job.set(name)
+    try:
+        yield name
+    finally:
+        _job.reset(token)
 
 
 def folder(spark: SparkSession) -> str:
@@ -32,7 +50,7 @@ def folder(spark: SparkSession) -> str:
 
 def place(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{folder(spark)}/corvane/{name}-{uuid.uuid4().hex}"
+    return f"{folder(spark)}/corvane/{_job.get()}/{name}-{uuid.uuid4().hex}"
 
 
 def keep(frame: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -58,6 +76,7 @@ def keep_by(frame: DataFrame, name: str, key: str, parts: int) -> DataFrame:
     spark, at = frame.sparkSession, place(frame.sparkSession, name)
     table = f"corvane_{at.rsplit('/', 1)[1].replace('-', '_')}"
     frame.write.option("compression", "zstd").option("path", at).bucketBy(parts, key).saveAsTable(table)
+    _tables.setdefault(_job.get(), []).append(table)
     return spark.table(table)
 
 
@@ -102,7 +121,10 @@ def drop_frame(frame: DataFrame) -> None:
         drop(frame.sparkSession, file)
 
 
-def cleanup(spark: SparkSession) -> None:
-    """Removes all tables that `place` has named in the shared folder; for when
-    no result that reads them is needed any more."""
-    drop(spark, f"{folder(spark)}/corvane")
+def cleanup(spark: SparkSession, job: str | None = None) -> None:
+    """Removes the tables of a job, or of all, from the shared folder; for when no
+    result that reads them is needed any more."""
+    for own in [job] if job else list(_tables):
+        for table in _tables.pop(own, ()):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+    drop(spark, f"{folder(spark)}/corvane" + (f"/{job}" if job else ""))

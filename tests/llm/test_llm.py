@@ -439,6 +439,8 @@ def test_similar_by_brute_force(spark, docs, none):
     want = sorted(str((d, rep[s], len(ds), linked[s], min(group[id(find(s))], key=order))) for s, ds in sets.items() for d in ds)
     assert sum(linked.values()) > 1000
     assert sorted(str((x.doc_id, x.class_id, x.n_copies, x.n_links, x.group_id)) for x in got) == want
+    deeper = similar.join(spark.createDataFrame(rows, SCHEMA), small=16, block=8, depth=6).collect()
+    assert sorted(str((x.doc_id, x.class_id, x.n_copies, x.n_links, x.group_id)) for x in deeper) == want
     left = similar.firsts(spark.createDataFrame(rows, SCHEMA), small=16, block=8)
     assert left.columns == spark.createDataFrame([], SCHEMA).columns
     assert sorted(map(str, (x.doc_id for x in left.collect()))) == sorted(map(str, (min(g, key=order) for g in group.values())))
@@ -485,6 +487,7 @@ def test_components_of_random_graphs(spark):
 
 
 def test_runs_follow_recall():
+    assert [similar.depth_for(n) for n in (0, 1, 10**6, 10**6 + 1, 10**9)] == [4, 4, 4, 5, 7]
     assert similar.runs_needed(0.9, 0.8, 2) < similar.runs_needed(0.999, 0.8, 2) < similar.runs_needed(0.999, 0.8, 6)
 
 
