@@ -267,7 +267,8 @@ def oracle_sql() -> dict[str, str]:
         "greeting_reply": f"SELECT id, {_reply} AS reply FROM {MESSAGES} m",
         "chat_route": f"SELECT id, intent, rag_path, rag_path <> 'gratitude' AS logged, CASE rag_path WHEN 'gratitude' THEN {_said(P.GRATITUDE_REPLY)} WHEN 'greeting' THEN {_reply} WHEN 'none' THEN {_said(P.GUARDED_REPLY)} END AS reply FROM (SELECT *, CASE WHEN intent IN ('gratitude', 'greeting') THEN intent WHEN {' OR '.join(has('text', p) for p in P.GUARDRAILS)} THEN 'none' WHEN intent = 'vague' THEN 'clarify' WHEN intent = 'product' THEN 'structured' ELSE 'semantic' END AS rag_path FROM {INTENT} i)",
         "history_window": "SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END AS role, CASE WHEN role = 'assistant' AND length(text) > 250 THEN substr(text, 1, 250) || '...' ELSE coalesce(text, '') END AS content FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 4",
-        "context_header": "SELECT doc_id, 'Document Title: Page | Page Type: product page' || ' | URL: ' || source AS header FROM documents",
+        "context_header": """SELECT doc_id, 'Document Title: ' || CASE doc_id % 4 WHEN 3 THEN 'About ' || src ELSE 'Page' END || ' | Page Type: ' || ['product page', 'faq page_type', 'document', 'document', 'about'][doc_id % 5 + 1] || CASE doc_id % 3 WHEN 0 THEN coalesce(' | URL: ' || nullif(source, ''), '') WHEN 1 THEN '' ELSE ' | URL: /d/' || src END
+|| CASE WHEN doc_id % 2 = 0 THEN ' | Topics: ' || array_to_string(list_filter([src, '', coalesce(lang, ''), 'a', 'b'], lambda x: x <> ''), ' > ') ELSE '' END AS header FROM (SELECT *, coalesce(source, '') AS src FROM documents)""",
         "chunk_uuid": f"SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-' || CASE (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 WHEN 0 THEN '8' WHEN 1 THEN '9' WHEN 2 THEN 'a' ELSE 'b' END || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM (SELECT doc_id, {_UUID} AS h FROM (SELECT doc_id, source AS url, '0_' || (doc_id % 7) AS ix, text FROM documents))",
         "knn_dense": f"SELECT * FROM {_dense()}",
         "filter_payload": f"SELECT * FROM {_dense('e.label > 0 AND e.label * 10 <= 30 AND e.label % 2 = 1')}",

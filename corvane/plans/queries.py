@@ -117,6 +117,17 @@ def html_tables(spark, sf_dir):
     return _tree(spark, sf_dir).select("url", "tables", "code")
 
 
+def table_markdown(spark, sf_dir):
+    """A page for each region with a table of its nations, a caption and a table
+    within a cell."""
+    cell = lambda *c: F.concat(F.lit("<td>"), *c, F.lit("</td>"))
+    row = F.concat(F.lit("<tr>"), cell(F.col("n_nationkey").cast("string")), cell(F.lit(" <b>"), "n_name", F.lit("</b> |\n x")), F.lit("</tr>"))
+    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("row")))), lambda r: r["row"]), "").alias("rows"))
+    page = F.concat(F.lit("<body><p>Nations</p><table><tr><th>key</th><th>name</th></tr>"), "rows", F.lit("<tr><td><table><tr><td>in</td></tr></table></td></tr></table></body>"))
+    pages = rows.select(F.concat(F.lit("https://e.com/region/"), F.col("n_regionkey").cast("string")).alias("url"), page.alias("html"))
+    return html.with_tree(pages).select("url", "tree.markdown")
+
+
 def page_links(spark, sf_dir):
     return _tree(spark, sf_dir).select("url", F.posexplode("links").alias("place", "link"))
 
@@ -206,8 +217,12 @@ def chunk_child(spark, sf_dir):
 
 
 def context_header(spark, sf_dir):
-    none = F.array().cast("array<string>")
-    return table(spark, sf_dir, "documents").select("doc_id", structure.context_header(F.lit(""), F.lit("product_page"), F.col("source"), none).alias("header"))
+    """Titles, page types and topics by turns."""
+    turn = lambda *values: F.element_at(F.array(*(F.lit(v) if isinstance(v, str) or v is None else v for v in values)), (F.col("doc_id") % len(values) + 1).cast("int"))
+    source = F.coalesce("source", F.lit(""))
+    topics = F.when(F.col("doc_id") % 2 == 0, F.array(source, F.lit(""), F.coalesce("lang", F.lit("")), *map(F.lit, "abcd"))).otherwise(F.array().cast("array<string>"))
+    header = structure.context_header(turn("", "Untitled Page", None, F.concat(F.lit("About "), source)), turn("product_page", "faq_page_type", "", None, "about"), turn(F.col("source"), "", F.concat(F.lit("/d/"), source)), topics)
+    return table(spark, sf_dir, "documents").select("doc_id", header.alias("header"))
 
 
 def chunk_uuid(spark, sf_dir):
@@ -539,7 +554,7 @@ def queries() -> dict[str, Query]:
         "greeting_reply": _each(messages, lambda: dict(reply=Q.greeting_reply(said(), F.col("has_history"), F.lit("Acme"), F.lit("")))),
     }
     for f in (
-        crawl_queue, quality_gate, is_html, page_title, html_headings, html_markdown, html_tables, page_links, jsonld_lines, ingest_status, business_name, sitemap_locs, md_headings, doc_blocks, chunk_parent, chunk_child, context_header, chunk_uuid, chunk_points, resolve_followup, chat_route,
+        crawl_queue, quality_gate, is_html, page_title, html_headings, html_markdown, html_tables, table_markdown, page_links, jsonld_lines, ingest_status, business_name, sitemap_locs, md_headings, doc_blocks, chunk_parent, chunk_child, context_header, chunk_uuid, chunk_points, resolve_followup, chat_route,
         prompt_build, history_window, lang_detect, knn_dense, filter_payload, dense_fallback, knn_product, bm25_stats, bm25_topk, rrf_fuse, compare_interleave, diversity_cap, calibrate_scores, rerank_none, rerank_select, abstention, parent_resolve, context_text, eval_recall, search,
         usage_tokens, usage_cost, usage_totals, usage_records, bot_documents, documents_upsert, analytics_log, lang_prepare, query_constraints, model_scores, not_visited, feedback_latest, upsert_points, stream_usage, scan_pages,
     ):
