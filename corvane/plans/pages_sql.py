@@ -72,9 +72,9 @@ def oracle_sql() -> dict[str, str]:
     product = f"'Product: ' || p_name || {n} || 'SKU: ' || p_partkey || {n} || 'Brand: ' || p_brand || {n} || 'Price: USD ' || {price} || {n} || 'Availability: InStock' || {n} || 'Rating: ' || (p_partkey % 5 + 1) || ' (' || (p_partkey + 1) || ' reviews)' || {n} || 'Size: ' || p_size"
     service = f"'Service: ' || p_name || {n} || 'Description: ' || p_type || {n} || 'Price: USD ' || {price} || {n} || 'Area Served: ' || p_brand"
     shop = f"'Business Name: ' || p_name || {n} || 'Phone: ' || p_partkey || {n} || 'Address: ' || p_brand || ', ' || p_size"
-    said = "'| ' || n_nationkey || ' | ' || n_name || ' \\| x |'"
+    nation = "'| ' || n_nationkey || ' | ' || n_name || ' \\| x |'"
     return {
-        "table_markdown": f"SELECT 'https://e.com/region/' || n_regionkey AS url, 'Nations' || {n} || {n} || '| key | name |' || {n} || '| --- | --- |' || {n} || string_agg({said}, {n} ORDER BY n_nationkey) || {n} || '| \\| in \\| \\| --- \\| | in |'  || {n} || '| in |' AS markdown FROM nation GROUP BY n_regionkey",
+        "table_markdown": f"SELECT 'https://e.com/region/' || n_regionkey AS url, 'Nations' || {n} || {n} || '| key | name |' || {n} || '| --- | --- |' || {n} || string_agg({nation}, {n} ORDER BY n_nationkey) || {n} || '| \\| in \\| \\| --- \\| | in |'  || {n} || '| in |' AS markdown FROM nation GROUP BY n_regionkey",
         "jsonld_lines": f"SELECT 'https://e.com/part/' || p_partkey AS url, CASE p_partkey % 3 WHEN 0 THEN {product} WHEN 1 THEN {service} ELSE {shop} END AS ld_text, CASE p_partkey % 3 WHEN 0 THEN 'product' WHEN 1 THEN 'service' ELSE 'localbusiness' END AS types, CAST(NULL AS VARCHAR) AS error FROM part",
         "html_markdown": f"WITH {PAGES}\nSELECT url, markdown, CAST(NULL AS VARCHAR) AS error FROM pages_read",
         "ingest_status": f"WITH {PAGES}\nSELECT status, page_type, count(*) AS pages, CAST(sum(words) AS BIGINT) AS words FROM pages_done GROUP BY status, page_type",
