@@ -8,7 +8,8 @@ Seating is sampled by Gibbs: a sweep draws the number of tables of every token
 in the parent, then that of every pair, from its exact law given all else, for
 all numbers of customers alike.  What other tasks hold stays as the sweep found
 it, as in distributed samplers of topic models.  Strengths and the discount of
-contexts are drawn on grids that narrow while sweeps burn in; the parent's
+contexts are drawn on grids that narrow while sweeps burn in, by the seatings of
+all contexts and pairs, however large and wherever they lie; the parent's
 discount is estimated from its customers.  After `burn` sweeps each of `samples`
 ones gives a predictive distribution, and a token's probability is their mean.
 
@@ -47,7 +48,7 @@ from pyspark.sql import functions as F
 from corvane.llm import store
 from corvane.llm import words as W
 from corvane.llm.encode import batch_of
-from corvane.llm.seating import draw, few, log_rising
+from corvane.llm.seating import draw, log_rising, seated
 
 END = np.uint64(0x0123456789ABCDEF)
 _NONE = -(1 << 63)
@@ -59,8 +60,6 @@ NAMED, COUNTED, PAIRS, ALONE, MET, OWNED, COUNTS, SEATS, ROOT, REPLY, SHARED, BU
 _HEAD = struct.Struct("<iiq7i")
 #: a context with over 1 / (SHARE * partitions) of all tokens is dealt over several
 SHARE = 4
-#: pairs of up to so many customers tell of discounts
-_LARGE = 512
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -467,21 +466,21 @@ class Law:
         return (c - self.d0 * t + self.fresh) / (self.s0 + self.customers)
 
 
-def _tell(routes: Routes, pairs: dict, names: dict, t: np.ndarray, tables: np.ndarray) -> list[pa.RecordBatch]:
+def _tell(routes: Routes, pairs: dict, names: dict, t: np.ndarray, tables: np.ndarray, size: np.ndarray) -> list[pa.RecordBatch]:
     """A partition's tables of each token and of shared contexts, to owners; those
-    of contexts also by themselves, to stay with the sample."""
+    of contexts also by themselves, with customers, to stay with the sample."""
     parts, labels, k = routes.parts, routes.labels, routes.at[pairs["p"]]
     place, split, ctx = unpack(pairs["d"]), unpack(pairs["f"]) > 0, risen(pairs["a"])
     cuts = cut(unpack(names["a"]), parts)
     own = np.bincount(place, weights=t, minlength=int(cuts[-1])).astype(np.int64)
-    ctx, tables = ctx[split], tables[split]
+    ctx, tables, size = ctx[split], tables[split], size[split]
     out, shared = [], []
     for q in range(parts):
         mine, theirs = own[cuts[q] : cuts[q + 1]], tables[ctx % parts == q]
         if len(mine) or len(theirs):
             out.append(said(int(labels[q]), COUNTS, k, pack(mine), pack(theirs)))
         if len(theirs):
-            shared.append(said(int(labels[q]), SHARED, k, None, pack(theirs), rises(ctx[ctx % parts == q] // parts)))
+            shared.append(said(int(labels[q]), SHARED, k, None, pack(theirs), rises(ctx[ctx % parts == q] // parts), pack(size[ctx % parts == q])))
     return [*routes.send(out, routes.line(k)).to_batches(), *table(shared).to_batches()]
 
 
@@ -493,9 +492,10 @@ def _start(routes: Routes):
         pairs = kinds[PAIRS]
         many, alone = unpack(pairs["c"]), unpack(pairs["b"])
         t = np.ones(int(many.sum()), np.int64)
+        size = np.bincount(np.repeat(np.arange(len(many)), many), weights=unpack(pairs["e"]) + 2, minlength=len(many)).astype(np.int64) + alone
         own = [float(len(t) + alone.sum()), 0.0, 0.0, 0.0, *pairs["sums"]]
         seats = said(pairs["p"], SEATS, -1, pack(t), pack(many + alone), sums=own)
-        return pa.Table.from_batches([*table([seats]).to_batches(), *_tell(routes, pairs, kinds[ALONE], t, many + alone)], _SAID_SCHEMA)
+        return pa.Table.from_batches([*table([seats]).to_batches(), *_tell(routes, pairs, kinds[ALONE], t, many + alone, size)], _SAID_SCHEMA)
 
     return run
 
@@ -562,27 +562,41 @@ def _contexts(law: Law, routes: Routes, turn: int, seed: int, grid: tuple[list[f
         full = law.s0 + law.customers - t
         t = draw(n, lambda i, j: (one[i] + law.d * j) * (other[i] + j) / (full[i] + j), law.d, np.random.default_rng([seed, turn, k, 1]))
         tables = np.bincount(u, weights=t, minlength=len(ctx)).astype(np.int64) + alone
-        # contexts held whole, without a large pair, tell of strength and discount
+        # all pairs, and contexts held whole, tell of strength and discount here;
+        # those dealt over several partitions do so in `_whole`
         size = np.bincount(u, weights=n, minlength=len(ctx)).astype(np.int64) + alone
-        large = np.zeros(len(ctx), bool)
-        large[u[n > _LARGE]] = True
-        plain = ~large & ~split & (size > 1)
-        sums = [float(tables.sum()), 0.0, 0.0, 0.0, *(_likelihood(size[plain], tables[plain], n[plain[u]], t[plain[u]], grid) if grid else [])]
+        plain = ~split & (size > 1)
+        sums = [float(tables.sum()), 0.0, 0.0, 0.0, *(_likelihood(size[plain], tables[plain], n, t, grid) if grid else [])]
         out.append(said(pairs["p"], SEATS, -1, pack(t), pack(tables), sums=sums))
-        return pa.Table.from_batches([*table(out).to_batches(), *_tell(routes, pairs, kinds[ALONE], t, tables)], _SAID_SCHEMA)
+        return pa.Table.from_batches([*table(out).to_batches(), *_tell(routes, pairs, kinds[ALONE], t, tables, size)], _SAID_SCHEMA)
+
+    return run
+
+
+def _whole(grid: tuple[list[float], list[float]]):
+    """An owner's part of what tells of strength and discount: the contexts of which
+    several partitions hold pairs, put together."""
+
+    def run(told: pa.Table) -> pa.Table:
+        rows = told.to_pylist()
+        ctx, which = np.unique(np.concatenate([risen(r["c"]) for r in rows]), return_inverse=True)
+        tables, size = (np.bincount(which, weights=np.concatenate([unpack(r[x]) for r in rows]), minlength=len(ctx)).astype(np.int64) for x in "bd")
+        none = np.zeros(0, np.int64)
+        return table([said(rows[0]["p"], SHARED, -1, sums=[0.0] * 4 + _likelihood(size, tables, none, none, grid))])
 
     return run
 
 
 def _likelihood(size: np.ndarray, tables: np.ndarray, n: np.ndarray, t: np.ndarray, grid: tuple[list[float], list[float]]) -> list[float]:
-    """The logarithm of the probability of contexts' seatings, for each discount
-    and strength of the grid."""
+    """The logarithm of the probability of the seatings of contexts, by their sizes
+    and tables, and of pairs, for each discount and strength of the grid."""
     count = lambda a: np.unique(a, return_counts=True)
-    (sizes, of_size), (seats, of_seats), (pair, of_pair) = count(size), count(tables), count(n * (_LARGE + 1) + t)
-    n, t = np.divmod(pair, _LARGE + 1)
+    high = int(t.max(initial=0)) + 1
+    (sizes, of_size), (seats, of_seats), (pair, of_pair) = count(size), count(tables), count(n * high + t)
+    n, t = np.divmod(pair, high)
     out = []
     for d in grid[0]:
-        own = float((few(d, int(n.max()) + 1)[n, t - 1] * of_pair).sum()) if len(n) else 0.0
+        own = float((seated(d, n, t) * of_pair).sum())
         for s in grid[1]:
             out.append(own + float((log_rising(s, d, seats) * of_seats).sum()) - float((log_rising(s, 1.0, sizes) * of_size).sum()))
     return out
@@ -742,6 +756,9 @@ def score(docs: DataFrame, tokens: int = 2_000_000, burn: int = 3, samples: int
         roots = routes.relay(owned.groupBy("p").cogroup(said_now.groupBy("p")).applyInArrow(_parent(current, routes, turn, seed), _SAID))
         after = store.keep(fixed.groupBy("p").cogroup(roots.groupBy("p")).applyInArrow(_contexts(current, routes, turn, seed, grid), _SAID), "seats")
         customers, tables, ones, twos, *logs = _added(after) or [0.0] * 5
+        if grid and len(logs):
+            shared = _added(after.where(F.col("kind") == SHARED).groupBy("p").applyInArrow(_whole(grid), _SAID))
+            logs = [x + y for x, y in zip(logs, shared[4:] or [0.0] * len(logs), strict=True)]
         if turn >= burn:
             held.append(Law((discount, parent[0]), (strength, parent[1]), current.customers, tables, size))
             made.append(after)

@@ -214,6 +214,86 @@ def test_numbers_of_tables_have_the_exact_law(n, fresh, discount):
     assert abs(np.cumsum(share) - np.cumsum(law)).max() < 1.95 / math.sqrt(20_000)
 
 
+def seatings(discount, n, width):
+    """The logarithms of the weights of n customers at 1 to `width` tables, added up
+    one customer after another."""
+    t, logs = np.arange(1, width + 1), np.full(width, -np.inf)
+    logs[0] = 0.0
+    with np.errstate(divide="ignore"):
+        for k in range(1, n):
+            logs = np.logaddexp(logs + np.log(np.maximum(k - discount * t, 0.0)), np.append(-np.inf, logs[:-1]))
+    return logs
+
+
+def test_tables_whose_weight_rises_with_them_are_not_capped():
+    """As of a pair that has nearly all of a corpus: some 54 tables, at times over
+    300, where a bound from the first 64 gave at most 182 and 40 in the mean."""
+    n, d = 3_000, 0.6
+    weight = lambda i, j: (0.5 + d * j) * (j + 0.2) / (j + 2.0) + 0 * i
+    logs = seatings(d, n, n) + np.append(0.0, np.cumsum(np.log(weight(0, np.arange(1, n)))))
+    law = np.exp(logs - logs.max())
+    law /= law.sum()
+    got = seating.draw(np.full(20_000, n), weight, d, np.random.default_rng(5))
+    share = np.bincount(got, minlength=n + 1)[1:] / 20_000
+    assert abs(np.cumsum(share) - np.cumsum(law)).max() < 1.95 / math.sqrt(20_000)
+
+
+@pytest.mark.parametrize("discount", [0.05, 0.5, 0.95])
+def test_weights_of_seatings_of_large_pairs(discount):
+    t = np.arange(1, 301)
+    for n in (300, 513, 520, 4_000):
+        want = seatings(discount, n, 300)
+        assert abs(seating.seated(discount, np.full(300, n), t) - want).max() < 1e-6
+    assert seating.seated(discount, np.zeros(0, int), np.zeros(0, int)).tolist() == []
+    assert abs(seating.seated(discount, np.array([700, 700]), np.array([700, 1])) - [0.0, seatings(discount, 700, 1)[0]]).max() < 1e-6
+
+
+def test_hpyp_all_contexts_tell_of_strength_and_discount(spark, monkeypatch):
+    """The grid's likelihood is that of all seatings, with pairs of over 512 customers
+    and contexts dealt over several partitions, which have most of this corpus."""
+    r = random.Random(9)
+    rows = [(k, " ".join(r.choice(["a", "a", "b", "c", f"w{r.randint(0, 30)}"]) for _ in range(200)), False) for k in range(60)]
+    stated, seats, grids, weights = [], [], [], []
+    keep, keep_by, contexts, choose = hpyp.store.keep, hpyp.store.keep_by, hpyp._contexts, hpyp._choose
+
+    def kept(frame, name, *more):
+        out = keep(frame, name, *more)
+        if name == "seats":
+            seats.append(out.where(F.col("kind") == hpyp.SEATS).collect())
+        return out
+
+    def kept_by(frame, name, *more):
+        out = keep_by(frame, name, *more)
+        if name == "pairs":
+            stated.extend(out.where(F.col("kind") == hpyp.PAIRS).collect())
+        return out
+
+    monkeypatch.setattr(hpyp.store, "keep", kept)
+    monkeypatch.setattr(hpyp.store, "keep_by", kept_by)
+    monkeypatch.setattr(hpyp, "_contexts", lambda *x: (grids.append(x[-1]), contexts(*x))[1])
+    monkeypatch.setattr(hpyp, "_choose", lambda x, rng: (weights.append(x), choose(x, rng))[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(3)
+    assert hpyp.score(docs, tokens=3_000, burn=1, samples=1).count() == 60
+    size, tables, pairs = collections.Counter(), collections.Counter(), collections.Counter()
+    tables_of = {x.p: hpyp.unpack(x.a) for x in seats[1]}
+    for x in stated:
+        ctx, alone, many, n = hpyp.risen(x.a).tolist(), hpyp.unpack(x.b), hpyp.unpack(x.c), hpyp.unpack(x.e) + 2
+        u, t = np.repeat(np.arange(len(ctx)), many), tables_of[x.p]
+        for k, c in enumerate(ctx):
+            size[c] += int(alone[k] + n[u == k].sum())
+            tables[c] += int(alone[k] + t[u == k].sum())
+        pairs.update(zip(n.tolist(), t.tolist(), strict=True))
+    assert sum(size.values()) == 60 * 201 and max(n for n, _ in pairs) > 512
+    assert sum(len(set(hpyp.risen(x.a).tolist()) & set(hpyp.risen(y.a).tolist())) for x, y in itertools.combinations(stated, 2))
+    want = []
+    for d in grids[0][0]:
+        own = sum(m * seatings(d, n, t)[t - 1] for (n, t), m in pairs.items())
+        for s in grids[0][1]:
+            rest = sum(sum(math.log(s + d * k) for k in range(1, tables[c])) - sum(math.log(s + k) for k in range(1, size[c])) for c in size)
+            want.append(own + rest)
+    assert len(want) == 25 and abs(weights[0] - want).max() < 1e-4
+
+
 def test_targets_stop_at_three_times():
     got = mixing.targets([10, 100, 1000], [1, 2, 3], 1110)
     assert got[0] == 30 and got[1] == 300 and abs(sum(got) - 1110) < 1e-6
