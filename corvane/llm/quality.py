@@ -120,7 +120,7 @@ def measure(docs: DataFrame) -> DataFrame:
                 columns = [*rows.columns, *(pa.array(m[c], pa.int64()) for c in MEASURES), pa.array(code, pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept.names, *MEASURES, "votes"])
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(W.frugal(run), out)
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50, trust: float = 0.05) -> tuple[float, np.ndarray, np.ndarray]:

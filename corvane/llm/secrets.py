@@ -233,7 +233,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, words: str | None = None
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
             yield batch_of(schema, [pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string")).mapInArrow(run, "doc_id long, start long, stop long, kind string, score double, secret boolean")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string")).mapInArrow(W.frugal(run), "doc_id long, start long, stop long, kind string, score double, secret boolean")
 
 
 def redact(docs: DataFrame, forest: Forest | None = None, words: str | None = None, least: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
@@ -261,4 +261,4 @@ def redact(docs: DataFrame, forest: Forest | None = None, words: str | None = No
                         columns["n_chars"] = pa.array([len(changed[k]) if k in changed and old[k] == len(texts[k]) else v for k, v in enumerate(old)], columns["n_chars"].type)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(W.frugal(run), docs.schema)

@@ -143,7 +143,7 @@ def sketch(docs: DataFrame, signed: bool = True) -> DataFrame:
                 sig = [x.tobytes() for x in signatures(value, ends)] if signed else [None] * rows.num_rows
                 yield batch_of(schema, [rows.column("doc_id"), class_ids(value, ends), np.diff(ends), pa.array(sig, pa.binary())])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, cid long, n long, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(W.frugal(run), "doc_id long, cid long, n long, sig binary")
 
 
 _PATHS = pa.schema([("path", pa.int64()), ("cid", pa.int64())])
@@ -174,7 +174,7 @@ def _split(threshold: float):
 def leaves(classes: DataFrame, runs: int, threshold: float, depth: int, small: int, block: int) -> DataFrame:
     """path, cid, parts: the classes of each leaf, and into how many blocks it
     falls."""
-    paths = store.keep(classes.where("n > 0").select("cid", "sig").mapInArrow(_begin(runs, threshold), "path long, cid long"), "paths")
+    paths = store.keep(classes.where("n > 0").select("cid", "sig").mapInArrow(W.frugal(_begin(runs, threshold)), "path long, cid long"), "paths")
     found = []
     for level in range(2, depth + 1):
         # a table, so that both sides of the join are plain and a hot path can be dealt out
@@ -185,7 +185,7 @@ def leaves(classes: DataFrame, runs: int, threshold: float, depth: int, small: i
         big = sized.where(f"count > {small}")
         if level == depth or big.isEmpty():
             break
-        paths = store.keep(big.select("path", "cid").join(classes.select("cid", "sig"), "cid").mapInArrow(_split(threshold), "path long, cid long"), "paths")
+        paths = store.keep(big.select("path", "cid").join(classes.select("cid", "sig"), "cid").mapInArrow(W.frugal(_split(threshold)), "path long, cid long"), "paths")
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
@@ -322,14 +322,14 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("id"), F.col("text").cast("string"))
     # repeated rows of a representative are few: a class has one of each doc_id and text
-    return texts.join(wanted, "id").select("cid", "text").mapInArrow(run, "cid long, value binary").dropDuplicates(["cid"])
+    return texts.join(wanted, "id").select("cid", "text").mapInArrow(W.frugal(run), "cid long, value binary").dropDuplicates(["cid"])
 
 
 def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, depth: int | None = None, small: int = 64, block: int = 512) -> DataFrame:
     """doc_id, class_id (least doc_id with the same set), n_copies of the class,
     n_links (other classes at the threshold or above), group_id (least class_id
     of the component that links make), and cid."""
-    drawn = store.keep(sketch(docs), "sketch")
+    drawn = store.keep(sketch(docs), "sketch", rows=1_000)
     least = F.min(F.coalesce("doc_id", F.lit(_NONE))).alias("id")
     classes = store.keep(drawn.groupBy("cid").agg(least, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     depth = depth_for(classes.count()) if depth is None else depth
@@ -342,16 +342,16 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, depth:
         for batch in batches:
             yield batch_of(schema, [batch.column("cid"), pa.array([np.array(x, np.int64).tobytes() for x in batch.column("all").to_pylist()], pa.binary())])
 
-    lists = lists.mapInArrow(packed, "cid long, all binary").join(classes.select("cid", "sig"), "cid")
+    lists = lists.mapInArrow(W.frugal(packed), "cid long, all binary").join(classes.select("cid", "sig"), "cid")
     rows = _blocks(found.join(store.keep(lists, "lists"), "cid"))
     parts = max(store.parts(docs.sparkSession), 1)
     key = ("path", "i", "j")
     cut = threshold - 5 * _deviation(threshold)
-    near = rows.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_near(cut), "path long, i long, j long, side boolean, cid long, all binary")
+    near = rows.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(W.frugal(_near(cut)), "path long, i long, j long, side boolean, cid long, all binary")
     near = store.keep(near, "near")
     wanted = store.keep(near.select("cid").distinct().join(classes.select("cid", "id"), "cid"), "wanted")
     sets = store.keep(_sets(docs, store.small(wanted, FEW)), "sets", rows=1_000)
-    checked = near.join(sets, "cid").repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_compare(threshold), "cid long, links long, label long")
+    checked = near.join(sets, "cid").repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(W.frugal(_compare(threshold)), "cid long, links long, label long")
     checked = store.keep(checked, "checked", rows=1_000)
     roots = graph.components(checked.select(F.col("cid").alias("a"), F.col("label").alias("b")))
     links = checked.groupBy("cid").agg(F.sum("links").alias("links"))
@@ -391,4 +391,4 @@ def with_class(docs: DataFrame, name: str) -> DataFrame:
                 cid = class_ids(*shingles(*W.flat(rows.column("text"))))
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cid, pa.int64())], names=[*names, name])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(0).cast("long").alias(name)).schema)
+    return docs.mapInArrow(W.frugal(run), docs.select("*", F.lit(0).cast("long").alias(name)).schema)

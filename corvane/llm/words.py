@@ -7,7 +7,10 @@ Everything here works on one batch and keeps no state.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +21,13 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LONG = 256
+#: bytes of text that are worked on at once: arrays of 8 bytes a byte are made of them
+SLICE = 1 << 18
 with np.errstate(over="ignore"):
     _POWER = np.cumprod(np.full(_LONG, 0x9E3779B97F4A7C15, np.uint64))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20):
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE):
     """Cuts a batch into runs of rows with about `limit` bytes of `column`."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
     total = np.cumsum(lengths)
@@ -34,6 +39,27 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20):
         at = end
 
 
+def release() -> None:
+    """Gives the memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` for a worker that is kept for other tasks: what its arrays took is
+    given back when it ends, as idle workers count in an executor's memory."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows and the row offsets in them; null is empty."""
     column = column.cast(pa.large_binary() if pa.types.is_binary(column.type) else pa.large_string())

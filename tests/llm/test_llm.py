@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -584,6 +585,40 @@ def _check_packing(rows, pieces, capacity, documents, attention):
     return len(bins)
 
 
+def most_mb(work, batch):
+    """What numpy and Python hold at most while `work` goes over the slices."""
+    collections.deque(work(batch), maxlen=0)  # what stays is made by now
+    tracemalloc.start()
+    collections.deque(work(batch), maxlen=0)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most / 1e6
+
+
+def many_rows():
+    """4 MB of text in rows of 4 kB."""
+    r = random.Random(4)
+    return pa.RecordBatch.from_pydict({"text": [prose(r, 1000)[:4000] for _ in range(1000)]})
+
+
+def test_quality_measures_in_little_memory():
+    assert most_mb(lambda batch: (quality.measures(*W.flat(x.column("text"))) for x in W.slices(batch)), many_rows()) < 40
+
+
+def test_a_worker_gives_memory_back_when_its_task_ends(monkeypatch):
+    calls = []
+    monkeypatch.setattr(W, "release", lambda: calls.append(1))
+    run = W.frugal(lambda batches: (2 * x for x in batches))
+    assert list(run(iter([1, 2]))) == [2, 4]
+    assert len(calls) == 1
+    cut = run(iter([1, 2]))
+    next(cut)
+    cut.close()
+    assert len(calls) == 2
+    monkeypatch.undo()
+    W.release()
+
+
 def test_packing_is_whole_and_within_capacities(docs, none):
     from tokenizers import Tokenizer
 
