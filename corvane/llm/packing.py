@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm import store
+from corvane.llm import words as W
 from corvane.llm.encode import batch_of, encoded
 
 SCORES = ("norm", "dot")
@@ -70,7 +71,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, pieces: str, end: int, capacity:
             seen[own[head]] += many
             yield batch_of(schema, [np.full(len(row), task, np.int32), rows.column("doc_id").take(pa.array(row)), piece.astype(np.int32), start, length.astype(np.int32), crc, rank])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(W.frugal(run), _PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int, documents: int, attention: int, weights: tuple[float, float, float] = (1.0, 0.01, 0.01), score: str = "norm") -> dict[str, np.ndarray]:
@@ -172,7 +173,7 @@ def place(pieces: DataFrame, capacity: int, documents: int, attention: int, weig
             yield batch_of(schema, [rows.column("doc_id"), rows.column("piece"), rows.column("start"), length, rows.column("ids_crc32"), sequences[at] + rank - ranks[at], offsets[at]])
 
     found = pieces.join(base, ["length", "task"])
-    return found.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return found.mapInArrow(W.frugal(run), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer: str, pieces: str, end: int = 0, capacity: int = 2048, documents: int | None = None, attention: int | None = None, **how) -> DataFrame:
@@ -185,5 +186,5 @@ def pack(docs: DataFrame, tokenizer: str, pieces: str, end: int = 0, capacity: i
         raise ValueError(f"the score must be one of {', '.join(SCORES)}")
     if docs.isEmpty():
         return docs.sparkSession.createDataFrame([], "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    made = store.keep(pieces_of(docs, tokenizer, pieces, end, min(capacity, math.isqrt(attention))), "pieces")
+    made = store.keep(pieces_of(docs, tokenizer, pieces, end, min(capacity, math.isqrt(attention))), "pieces", rows=1_000)
     return place(made, capacity, documents, attention, **how)

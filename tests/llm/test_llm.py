@@ -601,6 +601,10 @@ def many_rows():
     return pa.RecordBatch.from_pydict({"text": [prose(r, 1000)[:4000] for _ in range(1000)]})
 
 
+def test_packing_encodes_in_little_memory():
+    assert most_mb(lambda batch: encode.encoded([batch], BYTE, "leading"), many_rows()) < 40
+
+
 def test_quality_measures_in_little_memory():
     assert most_mb(lambda batch: (quality.measures(*W.flat(x.column("text"))) for x in W.slices(batch)), many_rows()) < 40
 
