@@ -417,3 +417,10 @@ def test_dense_ranking_is_that_of_a_full_sort(spark):
         found = sorted((-s, i) for i, s in enumerate(score) if np.isfinite(s) and s >= 50_000)[:30]
         want += [(k, i, int(-s), n + 1) for n, (s, i) in enumerate(found)]
     assert sorted(map(tuple, retrieval.dense(q, p).collect())) == sorted(want)
+
+
+def test_references_need_their_semicolon():
+    """As in the SQL: a title that ends in a reference cut short keeps its signs."""
+    got = html.read("<html><head><title>für&&&amp</title></head><body><h1>R&D &amp; more&amp</h1><p>1 &lt 2 &lt; 3 &#39;x&#39; &copyx; &copy;</p></body></html>", "https://e.com/")
+    assert got["title"] == "für&&&amp" and got["headings"] == [{"level": "h1", "text": "R&D & more&amp"}]
+    assert got["markdown"] == "# R&D & more&amp\n\n1 &lt 2 < 3 'x' &copyx; ©"
