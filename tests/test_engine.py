@@ -424,3 +424,19 @@ def test_references_need_their_semicolon():
     got = html.read("<html><head><title>für&&&amp</title></head><body><h1>R&D &amp; more&amp</h1><p>1 &lt 2 &lt; 3 &#39;x&#39; &copyx; &copy;</p></body></html>", "https://e.com/")
     assert got["title"] == "für&&&amp" and got["headings"] == [{"level": "h1", "text": "R&D & more&amp"}]
     assert got["markdown"] == "# R&D & more&amp\n\n1 &lt 2 < 3 'x' &copyx; ©"
+
+
+def test_a_title_is_read_whatever_else_fails(spark, tmp_path, monkeypatch):
+    """A table too long to write, a section of an unknown kind and broken data leave
+    the title; a page that can't be parsed is an error, never a title."""
+    inner = "x" * 600_000
+    for _ in range(30):
+        inner = f"<table><tr><td>{inner}</td></tr></table>"
+    rows = [(1, "u1", f"<title>long</title><body>{inner}</body>"), (2, "u2", "<title>odd</title><![foo[ x ]]><p>y</p>"), (3, "u3", '<title>null</title><script type="application/ld+json">null</script>'), (4, "u4", None), (5, "u5", "<p>none</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = dict(map(tuple, plans.page_title(spark, str(tmp_path)).collect()))
+    assert got == {"p1": "long", "p2": "odd", "p3": "null", "p4": None, "p5": ""}
+    assert html.read(rows[0][2])["error"] and html.read(rows[2][2])["error"] and html.read(rows[1][2])["error"] is None
+    bad = html.with_title(spark.createDataFrame([("u9", b"\xff")], "url string, html binary"))
+    with pytest.raises(Exception, match="the page u9 can't be read"):
+        bad.collect()
