@@ -3,13 +3,14 @@
 import datetime
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import query as Q
 from corvane.functions import text as X
 from corvane.functions import urls as U
-from corvane.operators import accounts, chat, html, retrieval, structure
+from corvane.operators import accounts, batches, chat, html, retrieval, structure
 from corvane.operators.normalize import normalize
 from corvane.plans import fixtures, oracle
 from corvane.plans import queries as plans
@@ -440,3 +441,39 @@ def test_a_title_is_read_whatever_else_fails(spark, tmp_path, monkeypatch):
     bad = html.with_title(spark.createDataFrame([("u9", b"\xff")], "url string, html binary"))
     with pytest.raises(Exception, match="the page u9 can't be read"):
         bad.collect()
+
+
+class Held:
+    """A frame that gives back what it is to run on batches."""
+
+    schema = None
+
+    def __init__(self, *columns):
+        self.columns = columns
+
+    def withColumn(self, *_):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def _in_pieces(run, batch, column, given=lambda b: b):
+    """The pieces in which a batch comes out: no more than a slice's rows and bytes,
+    but for one row that is longer."""
+    out = [given(b) for b in run(iter([batch]))]
+    assert sum(b.num_rows for b in out) == batch.num_rows
+    assert all(b.num_rows <= batches.MOST_ROWS and (b.num_rows == 1 or sum(map(len, filter(None, b.column(column).to_pylist()))) <= batches.SLICE) for b in out)
+    assert pa.concat_arrays([b.column(column) for b in out]).equals(batch.column(column))
+
+
+def _texts(text):
+    return [text(40_000)] * 60 + [None, "", text(3_000_000)] + [text(10)] * 2_500
+
+
+def test_pages_are_parsed_in_pieces(spark):
+    rows = _texts(lambda n: f"<title>t</title><p>{'x ' * (n // 2)}</p>")
+    batch = pa.RecordBatch.from_arrays([pa.array(["https://e.com/"] * len(rows)), pa.array(rows)], names=["url", "html"])
+    for function in (html.with_tree, html.with_title):
+        _in_pieces(function(Held("url", "html")), batch, "html")
+    assert list(html.with_tree(Held("url", "html"))(iter([]))) == []
