@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import patterns as P
 from corvane.functions.text import has
+from corvane.operators.batches import release, small
 
 TOP, LEAST_DENSE, RRF, CAP, POOL, KEPT = 30, 0.05, 60, 2, 12, 5
 LEAST_RERANK, LEAST_TOP, LEAST_TOP_CATALOG = 0.10, 0.05, 0.10
@@ -27,6 +28,8 @@ K1, B = 1.2, 0.75
 #: queries that are compared with all points at once, their bytes, and the cells of
 #: the matrix of queries and terms; more go in several passes
 QUERY_BLOCK, QUERY_BYTES, QUERY_CELLS = 4_096, 32_000_000, 32_000_000
+#: cells of a matrix that a task works on at once
+TASK_CELLS = 2_000_000
 
 
 def micro(x: Column) -> Column:
@@ -79,21 +82,26 @@ def _best(block, limit: int, least: float | None):
         names, queries = block.value
         size = np.linalg.norm(queries, axis=1)
         held = [np.zeros((0, 2), np.int64) for _ in names]
+        step = max(1, min(2_048, TASK_CELLS // len(names)))
         for b in batches:
             lists = b.column("vector")
             ids = np.asarray(b.column("id"))
             n = np.diff(np.asarray(lists.offsets))
             good = np.flatnonzero((n == queries.shape[1]) & ~np.asarray(lists.is_null()))
-            for low in range(0, len(good), 2_048):
-                at = good[low : low + 2_048]
+            for low in range(0, len(good), step):
+                at = good[low : low + step]
                 own = lists.take(pa.array(at))
                 points = np.asarray(own.flatten(), dtype=np.float64).reshape(len(at), -1)
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    cosine = (queries @ points.T) / (size[:, None] * np.linalg.norm(points, axis=1)[None])
-                score = np.floor(cosine * 1e6 + 0.5)
+                    score = queries @ points.T
+                    score /= size[:, None] * np.linalg.norm(points, axis=1)[None]
+                score *= 1e6
+                score += 0.5
+                np.floor(score, out=score)
                 for q in _hopeful(score, held, limit, least):
                     held[q] = _keep(held[q], score[q], ids[at], limit, least)
         yield _rows(names, held)
+        release()
 
     return run
 
@@ -188,8 +196,6 @@ def _scored(block, idf: np.ndarray, mean: float, limit: int):
 
     def run(batches):
         names, terms, (ptr, which) = block.value
-        wanted = np.zeros((len(names), len(terms)), np.float32)
-        wanted[np.repeat(np.arange(len(names)), np.diff(ptr)), which] = 1
         held = [np.zeros((0, 2), np.int64) for _ in names]
         for b in batches:
             ids, sizes = np.asarray(b.column("id")), np.asarray(b.column("size"))
@@ -202,12 +208,21 @@ def _scored(block, idf: np.ndarray, mean: float, limit: int):
                 used, place = np.unique(at, return_inverse=True)
                 weight = np.zeros((len(lists), len(used)))
                 weight[row, place] = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[low : low + 512][row] / mean))
-                own = wanted[:, used].astype(np.float64)
-                score = np.floor(own @ weight.T * 1e6 + 0.5)
-                score[own @ (weight > 0).T.astype(float) == 0] = np.nan
-                for q in _hopeful(score, held, limit, None):
-                    held[q] = _keep(held[q], score[q], ids[low : low + 512], limit, None)
+                column = np.full(len(terms), -1)
+                column[used] = np.arange(len(used))
+                step = max(1, TASK_CELLS // max(len(used), len(lists)))
+                for first in range(0, len(names), step):
+                    ends = ptr[first : first + step + 1]
+                    asks = column[which[ends[0] : ends[-1]]]
+                    own = np.zeros((len(ends) - 1, len(used)))
+                    own[np.repeat(np.arange(len(ends) - 1), np.diff(ends))[asks >= 0], asks[asks >= 0]] = 1
+                    score = np.floor(own @ weight.T * 1e6 + 0.5)
+                    score[own @ (weight > 0).T.astype(float) == 0] = np.nan
+                    kept = held[first : first + step]
+                    for q in _hopeful(score, kept, limit, None):
+                        held[first + q] = _keep(kept[q], score[q], ids[low : low + 512], limit, None)
         yield _rows(names, held)
+        release()
 
     return run
 
@@ -229,7 +244,7 @@ def bm25(queries: DataFrame, docs: DataFrame, limit: int = TOP) -> DataFrame:
             continue
         ptr = np.cumsum([0, *(len(words) for _, words in asked)])
         block = spark.sparkContext.broadcast((np.array([q for q, _ in asked], np.int64), terms, (ptr, np.array([terms[w] for _, words in asked for w in words], np.int32))))
-        held = docs.select("id", "text").mapInArrow(_postings(block), "id long, size long, terms array<int>, counts array<int>").persist(StorageLevel.DISK_ONLY)
+        held = docs.select("id", "text").mapInArrow(small(_postings(block), "text"), "id long, size long, terms array<int>, counts array<int>").persist(StorageLevel.DISK_ONLY)
         n, total = held.agg(F.count("*"), F.sum("size")).head()
         df = np.zeros(len(terms))
         for term, count in held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*")).collect():
@@ -274,7 +289,7 @@ def containing(questions: DataFrame, docs: DataFrame) -> DataFrame:
 
     for rows in _blocks(lower, "text", max(1, int(QUERY_BYTES / 4 // size))):
         block = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-        part = docs.select(F.lower("text").alias("text")).mapInArrow(search(block), "query long")
+        part = docs.select(F.lower("text").alias("text")).mapInArrow(small(search(block), "text"), "query long")
         found = part if found is None else found.union(part)
     return spark.createDataFrame([], "query long") if found is None else found.distinct()
 

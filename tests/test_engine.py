@@ -1,8 +1,10 @@
 """The library against its SQL, its traps on hand-made rows, and its streams."""
 
 import datetime
+import tracemalloc
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -477,3 +479,56 @@ def test_pages_are_parsed_in_pieces(spark):
     for function in (html.with_tree, html.with_title):
         _in_pieces(function(Held("url", "html")), batch, "html")
     assert list(html.with_tree(Held("url", "html"))(iter([]))) == []
+
+
+class Sent:
+    """What a broadcast is to a task."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def _peak(run, given):
+    """All that comes out, and the most MB that numpy and Python held."""
+    tracemalloc.start()
+    try:
+        out = list(run(iter(given)))
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_vectors_are_compared_in_small_matrices():
+    rng = np.random.default_rng(3)
+    queries, points = rng.normal(size=(4_096, 16)), rng.normal(size=(2_500, 16)).astype(np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(points))), pa.array(list(points), pa.list_(pa.float32()))], names=["id", "vector"])
+    (found,), most = _peak(retrieval._best(Sent((np.arange(len(queries)), queries)), 2, None), [batch])
+    exact = points.astype(float) / np.linalg.norm(points.astype(float), axis=1)[:, None] @ (queries / np.linalg.norm(queries, axis=1)[:, None]).T
+    assert found.column("query").to_pylist() == np.repeat(np.arange(4_096), 2).tolist()
+    assert found.column("id").to_pylist() == np.argsort(-exact, axis=0, kind="stable")[:2].T.ravel().tolist()
+    assert most < 80
+
+
+def test_texts_are_scored_in_small_matrices():
+    """Texts in slices into postings, these against blocks of many queries."""
+    rng = np.random.default_rng(4)
+    names = [f"w{k}" for k in range(6_000)]
+    ptr = np.arange(0, 3 * 4_096 + 1, 3)
+    which = np.concatenate([np.sort(rng.choice(6_000, 3, replace=False)) for _ in range(4_096)]).astype(np.int32)
+    block = Sent((np.arange(4_096), {w: i for i, w in enumerate(names)}, (ptr, which)))
+    texts = [" ".join(names[t] for t in rng.choice(6_000, 40)) for _ in range(1_200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), pa.array(texts)], names=["id", "text"])
+    postings = list(batches.small(retrieval._postings(block), "text")(iter([batch])))
+    assert [p.num_rows for p in postings] == [1_000, 200] and list(retrieval._postings(block)(iter([batch])))[0].equals(pa.Table.from_batches(postings).combine_chunks().to_batches()[0])
+    idf = rng.uniform(1, 9, 6_000)
+    (found,), most = _peak(retrieval._scored(block, idf, 40.0, 2), postings)
+    tf = np.zeros((len(texts), 6_000))
+    for k, text in enumerate(texts):
+        for w in text.split():
+            tf[k, int(w[1:])] += 1
+    for q in range(0, 4_096, 97):
+        mine = which[3 * q : 3 * q + 3]
+        score = (idf[mine] * tf[:, mine] * 2.2 / (tf[:, mine] + 1.2)).sum(axis=1)
+        best = [i for i in np.argsort(-np.floor(score * 1e6 + 0.5), kind="stable")[:2].tolist() if score[i] > 0]
+        assert [i for a, i in zip(found.column("query").to_pylist(), found.column("id").to_pylist(), strict=True) if a == q] == best
+    assert most < 120
