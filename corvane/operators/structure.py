@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators.batches import small
+
 PARENT, CHILD, OVERLAP = 850, 350, 50
 _TABLE = re.compile(r"^\s*\|.*\|\s*$")
 _QUESTION = re.compile(r"^(?:Q:|Question:|FAQ:|\d+\.\s+Q:)", re.I)
@@ -142,7 +144,7 @@ def with_blocks(pages: DataFrame, column: str = "text") -> DataFrame:
             found = [[{"kind": k, "content": c} for k, c in blocks(t)] for t in b.column(column).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, _BLOCKS)], names=[*names, "blocks"])
 
-    return pages.mapInArrow(run, pages.withColumn("blocks", F.array().cast("array<struct<kind: string, content: string>>")).schema)
+    return pages.mapInArrow(small(run, column), pages.withColumn("blocks", F.array().cast("array<struct<kind: string, content: string>>")).schema)
 
 
 def source_text(found: list[tuple[str, str]]) -> str:
@@ -169,7 +171,7 @@ def with_chunks(pages: DataFrame, column: str = "text", count: Counter = quarter
             found = [chunked(t, count) for t in b.column(column).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, _CHUNKS)], names=[*names, "chunk"])
 
-    rows = pages.mapInArrow(run, pages.withColumn("chunk", F.lit(None).cast(CHUNK)).schema)
+    rows = pages.mapInArrow(small(run, column), pages.withColumn("chunk", F.lit(None).cast(CHUNK)).schema)
     rows = rows.withColumn("chunk", F.explode("chunk"))
     parts = [F.col(f"chunk.{c}").alias(n) for c, n in (("parent", "parent_index"), ("child", "child_no"), ("parent_id", "parent_id"), ("parent_text", "parent_text"), ("text", "chunk_text"))]
     return rows.select(*names, *parts).withColumn("child_index", F.concat_ws("_", "parent_index", "child_no"))

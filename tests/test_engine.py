@@ -532,3 +532,13 @@ def test_texts_are_scored_in_small_matrices():
         best = [i for i in np.argsort(-np.floor(score * 1e6 + 0.5), kind="stable")[:2].tolist() if score[i] > 0]
         assert [i for a, i in zip(found.column("query").to_pylist(), found.column("id").to_pylist(), strict=True) if a == q] == best
     assert most < 120
+
+
+def test_documents_are_cut_in_pieces(spark):
+    rows = _texts(lambda n: "word " * (n // 5))
+    batch = pa.RecordBatch.from_arrays([pa.array(rows)], names=["text"])
+    _in_pieces(structure.with_blocks(Held("text")), batch, "text")
+    made = []
+    Explodes = type("Explodes", (Held,), {"mapInArrow": lambda self, run, schema: made.append(run) or spark.createDataFrame([], f"text string, chunk {structure.CHUNK}")})
+    structure.with_chunks(Explodes("text"))
+    _in_pieces(made[0], batch, "text")
