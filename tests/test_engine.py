@@ -542,3 +542,15 @@ def test_documents_are_cut_in_pieces(spark):
     Explodes = type("Explodes", (Held,), {"mapInArrow": lambda self, run, schema: made.append(run) or spark.createDataFrame([], f"text string, chunk {structure.CHUNK}")})
     structure.with_chunks(Explodes("text"))
     _in_pieces(made[0], batch, "text")
+
+
+@pytest.mark.parametrize("name", ["chunk_points", "html_markdown", "page_title"])
+def test_cut_references_are_as_in_sql(spark, tmp_path, name):
+    words = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, "https://e.com/x", f"<html><head><title>die der&&&amp</title></head><body><h1>die der&&&amp</h1><p>{words} a &amp; b</p></body></html>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(oracle.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    assert [tuple(r) for r in plans.queries()[name](spark, str(tmp_path)).select(*names).collect()] == want.fetchall()
